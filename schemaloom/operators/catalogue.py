@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from schemaloom.runtime import small_frame
+
 MAX_NAME_CHARS = 64
 
 COLUMN_SCHEMA = (
@@ -79,7 +81,7 @@ def columns_frame(spark: SparkSession, tables: list[Table]) -> DataFrame:
         for table_no, t in enumerate(tables, 1)
         for i, f in enumerate(t.frame.schema.fields)
     ]
-    return spark.createDataFrame(rows, COLUMN_SCHEMA)
+    return small_frame(spark, rows, COLUMN_SCHEMA)
 
 
 def infer_types(tables: list[Table]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from schemaloom.functions.text import flatten_text, strip
 from schemaloom.operators.catalogue import Table, union_all
+from schemaloom.runtime import small_frame
 
 SAMPLES_PER_COLUMN = 5
 ORIGINAL_NAME_CHARS = 80
@@ -84,12 +85,6 @@ def first_values(table: Table, order_by: list[str], keep: int = SAMPLES_PER_COLU
     )
 
 
-def _lines(rows: DataFrame, section: int, order, text) -> DataFrame:
-    return rows.select(
-        "database", "table", F.struct(F.lit(section).alias("s"), order.cast("int").alias("o"), text.alias("t")).alias("line")
-    )
-
-
 def table_documents(
     columns: DataFrame,
     types: DataFrame,
@@ -103,71 +98,78 @@ def table_documents(
 ) -> DataFrame:
     """One document per table: (id, database, table, kind, text).
 
-    All inputs are catalogue-sized. ``key_style`` writes a link as ``a -> t.b``
-    (``dotted``) or ``a -> t(b)`` (``call``).
+    All inputs are catalogue-sized. They meet on (database, table, column), and one
+    aggregate per table puts the columns in order. ``key_style`` writes a link as
+    ``a -> t.b`` (``dotted``) or ``a -> t(b)`` (``call``).
     """
     name = ["database", "table", "column"]
-    known = columns.join(types, name, "left").withColumn("type", F.coalesce("type", "base_type"))
-    first = columns.filter("column_no = 1")
-    one, none = F.lit(1), F.lit(0)
-    parts = [
-        _lines(first, 2, none, F.concat(F.lit("TABLE: "), "table")),
-        _lines(first, 4, none, F.lit("COLUMNS:")),
-        _lines(known, 5, F.col("column_no"), F.format_string("- %s (%s)", "column", "type")),
-    ]
-    if with_database:
-        parts.append(_lines(first, 1, none, F.concat(F.lit("DATABASE: "), "database")))
-    if with_originals:
-        shown = flatten_text(F.col("original_table"), ORIGINAL_NAME_CHARS)
-        parts.append(
-            _lines(first.filter("original_table <> table"), 3, none, F.concat(F.lit("ORIGINAL NAME: "), shown))
-        )
-        pair = F.concat("column", F.lit(" = "), flatten_text(F.col("original_column"), ORIGINAL_NAME_CHARS))
-        renamed = (
-            columns.filter("original_column <> column")
-            .groupBy("database", "table")
-            .agg(F.array_sort(F.collect_list(F.struct("column_no", pair.alias("p")))).alias("ps"))
-        )
-        parts.append(
-            _lines(renamed, 6, none, F.concat(F.lit("ORIGINAL COLUMN NAMES: "), F.array_join("ps.p", "; ")))
-        )
-    keyed = (
-        columns.join(keys, name)
-        .groupBy("database", "table")
-        .agg(F.array_sort(F.collect_list(F.struct("column_no", "column"))).alias("ks"))
-    )
-    parts.append(_lines(keyed, 7, none, F.concat(F.lit("PRIMARY KEYS: "), F.array_join("ks.column", ", "))))
-    linked = columns.join(links, name)
-    parts.append(_lines(linked.select("database", "table").distinct(), 8, none, F.lit("FOREIGN KEYS:")))
     if key_style == "call":
-        target = F.format_string("- %s -> %s(%s)", "column", "ref_table", "ref_column")
+        target = F.format_string("%s(%s)", "ref_table", "ref_column")
     else:
-        mark = F.when(F.col("inferred"), " (inferred)").otherwise("")
-        target = F.concat(F.format_string("- %s -> %s.%s", "column", "ref_table", "ref_column"), mark)
-    parts.append(_lines(linked, 9, F.col("column_no"), target))
+        target = F.concat("ref_table", F.lit("."), "ref_column", F.when(F.col("inferred"), " (inferred)").otherwise(""))
+    linked = links.groupBy(*name).agg(F.array_sort(F.collect_list(target)).alias("targets"))
+    known = (
+        columns.join(types, name, "left")
+        .join(keys.select(*name, F.lit(True).alias("is_key")), name, "left")
+        .join(linked, name, "left")
+    )
+    listed = F.lit(None).cast("string")
     if samples is not None:
-        listed = (
-            samples.groupBy(*name)
-            .agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("vs"))
-            .join(columns, name)
-        )
-        parts.append(_lines(listed.select("database", "table").distinct(), 10, none, F.lit("SAMPLE VALUES:")))
-        parts.append(
-            _lines(
-                listed,
-                11,
-                F.col("column_no"),
-                F.concat(F.lit("- "), "column", F.lit(": "), F.array_join("vs.value", ", ")),
-            )
-        )
-    ordered = F.array_sort(F.collect_list("line"))
-    return (
-        union_all(parts)
-        .groupBy("database", "table")
-        .agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("text"))
-        .select(
-            F.concat_ws("::", "database", "table").alias("id"), "database", "table", F.lit(kind).alias("kind"), "text"
+        values = F.array_sort(F.collect_list(F.struct("position", "value")))
+        shown = samples.groupBy(*name).agg(F.array_join(values["value"], ", ").alias("shown"))
+        known, listed = known.join(shown, name, "left"), F.col("shown")
+    column = F.struct(
+        "column_no",
+        "column",
+        flatten_text(F.col("original_column"), ORIGINAL_NAME_CHARS).alias("original"),
+        (F.col("original_column") != F.col("column")).alias("renamed"),
+        F.coalesce("type", "base_type").alias("type"),
+        "is_key",
+        "targets",
+        listed.alias("shown"),
+    )
+    grouped = known.groupBy("database", "table").agg(
+        F.array_sort(F.collect_list(column)).alias("cols"), F.any_value("original_table").alias("original_table")
+    )
+    cols, none = F.col("cols"), F.array().cast("array<string>")
+
+    def when_any(found, head: str, one_line: str | None = None):
+        """A heading with its lines, or one line, when there is something to show."""
+        lines = F.concat(F.array(F.lit(head)), found) if one_line is None else F.array(
+            F.concat(F.lit(head), F.array_join(found, one_line))
         )
+        return F.when(F.size(found) > 0, lines).otherwise(none)
+
+    def picked(test, shape):
+        return F.transform(F.filter(cols, test), shape)
+
+    parts = []
+    if with_database:
+        parts.append(F.array(F.concat(F.lit("DATABASE: "), "database")))
+    parts.append(F.array(F.concat(F.lit("TABLE: "), "table")))
+    if with_originals:
+        original = F.concat(F.lit("ORIGINAL NAME: "), flatten_text(F.col("original_table"), ORIGINAL_NAME_CHARS))
+        parts.append(F.when(F.col("original_table") != F.col("table"), F.array(original)).otherwise(none))
+    parts.append(F.array(F.lit("COLUMNS:")))
+    parts.append(F.transform(cols, lambda c: F.format_string("- %s (%s)", c["column"], c["type"])))
+    if with_originals:
+        renamed = picked(lambda c: c["renamed"], lambda c: F.concat(c["column"], F.lit(" = "), c["original"]))
+        parts.append(when_any(renamed, "ORIGINAL COLUMN NAMES: ", "; "))
+    parts.append(when_any(picked(lambda c: c["is_key"], lambda c: c["column"]), "PRIMARY KEYS: ", ", "))
+    arrows = picked(
+        lambda c: c["targets"].isNotNull(),
+        lambda c: F.transform(c["targets"], lambda t: F.concat(F.lit("- "), c["column"], F.lit(" -> "), t)),
+    )
+    parts.append(when_any(F.flatten(arrows), "FOREIGN KEYS:"))
+    if samples is not None:
+        lines = picked(lambda c: c["shown"].isNotNull(), lambda c: F.format_string("- %s: %s", c["column"], c["shown"]))
+        parts.append(when_any(lines, "SAMPLE VALUES:"))
+    return grouped.select(
+        F.concat_ws("::", "database", "table").alias("id"),
+        "database",
+        "table",
+        F.lit(kind).alias("kind"),
+        F.array_join(F.concat(*parts), "\n").alias("text"),
     )
 
 
@@ -239,7 +241,7 @@ def value_frequency(documents: DataFrame, top: int = 30) -> DataFrame:
 
 def named_value_counts(documents: DataFrame, names: list[str]) -> DataFrame:
     """Frequency of the named values, 0 for those that never occur."""
-    asked = documents.sparkSession.createDataFrame([(n,) for n in names], "value string")
+    asked = small_frame(documents.sparkSession, [(n,) for n in names], "value string")
     counts = (
         document_values(documents)
         .join(F.broadcast(asked), "value", "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions.values import affinity
 from schemaloom.operators.catalogue import Table, base_type, union_all
+from schemaloom.runtime import small_frame
 
 MIN_INCLUDED = 0.9
 KEY_SEARCH_COLUMNS = 3
@@ -25,45 +26,33 @@ def _numeric(kind: str) -> bool:
     return kind in ("INTEGER", "REAL", "DATETIME")
 
 
-def _one_table_profile(table: Table, columns: list[str]) -> DataFrame:
-    """Counts per column of one table, in one scan.
+def uniqueness(tables: list[Table], columns: dict[tuple[str, str], list[str]]) -> DataFrame:
+    """Uniqueness profile of the named columns; ``columns`` maps (database, table) to names.
 
-    Each row becomes (column, value) pairs, which are counted per value first, so a hot
-    value is combined before the shuffle and no distinct set is held in one task.
+    Each table is scanned once and each row becomes (column number, value) pairs. They are
+    counted per value first, so a hot value is combined before the shuffle and no distinct
+    set is held in one task.
     """
-    pairs = [
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns
-    ]
-    values = (
-        table.frame.select(F.inline(F.array(*pairs)))
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    present = F.col("value").isNotNull()
-    return (
-        values.groupBy("column")
-        .agg(
-            F.sum("n").alias("rows"),
-            F.sum(F.when(present, F.col("n")).otherwise(0)).alias("non_null"),
-            F.count("value").alias("distinct"),
-        )
-        .select(
-            F.lit(table.database).alias("database"),
-            F.lit(table.name).alias("table"),
-            "column",
-            "rows",
-            "non_null",
-            "distinct",
-            ((F.col("rows") == F.col("non_null")) & (F.col("rows") == F.col("distinct"))).alias("is_unique"),
-        )
-    )
-
-
-def uniqueness(tables: list[Table], columns: dict[tuple[str, str], list[str]]) -> DataFrame:
-    """Uniqueness profile of the named columns; ``columns`` maps (database, table) to names."""
-    return union_all(
-        [_one_table_profile(t, columns[t.database, t.name]) for t in tables if columns.get((t.database, t.name))]
+    names: list[tuple] = []
+    parts = []
+    for t in tables:
+        pairs = []
+        for c in columns.get((t.database, t.name), []):
+            value = F.col(f"`{c}`").cast("string").alias("value")
+            pairs.append(F.struct(F.lit(len(names)).alias("col_no"), value))
+            names.append((len(names), t.database, t.name, c))
+        if pairs:
+            parts.append(t.frame.select(F.inline(F.array(*pairs))))
+    values = union_all(parts).groupBy("col_no", "value").agg(F.count(F.lit(1)).alias("n"))
+    profile = values.groupBy("col_no").agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"),
+        F.count("value").alias("distinct"),
     )
+    spark = tables[0].frame.sparkSession
+    named = small_frame(spark, names, "col_no int, database string, table string, column string")
+    unique = (F.col("rows") == F.col("non_null")) & (F.col("rows") == F.col("distinct"))
+    return profile.join(F.broadcast(named), "col_no").drop("col_no").withColumn("is_unique", unique)
 
 
 def looks_like_key(table: str, column: str) -> bool:
@@ -172,24 +161,26 @@ def inclusion(candidates: list[Candidate]) -> DataFrame:
         children.setdefault((c.child.database, c.child.name, c.column, mixed), []).append(c)
         parents.setdefault((c.parent.database, c.parent.name, c.ref_column, mixed), []).append(c)
 
-    def pairs(group: list[Candidate]) -> Column:
-        return F.explode(F.array(*[F.lit(c.order) for c in group])).alias("pair")
+    def pair_numbers(groups: dict[tuple, list[Candidate]]) -> Column:
+        """Candidates of the column numbered ``col_no``; a list known before the scan."""
+        numbers = F.array(*[F.array(*[F.lit(c.order) for c in group]) for group in groups.values()])
+        return F.explode(F.element_at(numbers, F.col("col_no") + 1)).alias("pair")
 
     child = union_all(
         [
-            _comparable(group[0].child, column, mixed)
-            .groupBy("value")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(pairs(group), "value", "n")
-            for (_, _, column, mixed), group in children.items()
+            _comparable(group[0].child, column, mixed).withColumn("col_no", F.lit(n))
+            for n, ((_, _, column, mixed), group) in enumerate(children.items())
         ]
     )
+    child = child.groupBy("col_no", "value").agg(F.count(F.lit(1)).alias("n"))
     parent = union_all(
         [
-            _comparable(group[0].parent, column, mixed).select(pairs(group), "value", F.lit(True).alias("found"))
-            for (_, _, column, mixed), group in parents.items()
+            _comparable(group[0].parent, column, mixed).withColumn("col_no", F.lit(n))
+            for n, ((_, _, column, mixed), group) in enumerate(parents.items())
         ]
     )
+    child = child.select(pair_numbers(children), "value", "n")
+    parent = parent.select(pair_numbers(parents), "value", F.lit(True).alias("found"))
     return (
         child.join(parent, ["pair", "value"], "left")
         .groupBy("pair")
@@ -227,7 +218,8 @@ def infer_links(
     unique = unique_parents(tables, candidates)
     candidates = [c for c in candidates if (c.parent.database, c.parent.name, c.ref_column) in unique]
     spark = tables[0].frame.sparkSession
-    pairs = spark.createDataFrame(
+    pairs = small_frame(
+        spark,
         [
             (c.order, c.child.database, c.child.name, c.column, c.parent.name, c.ref_column)
             for c in candidates

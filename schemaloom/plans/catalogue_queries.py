@@ -16,6 +16,7 @@ from schemaloom.operators import catalogue, documents, keys, registry
 from schemaloom.plans import schema_sql as sx
 from schemaloom.plans.inputs import filled, filled_sql, load, schema_index, tables
 from schemaloom.plans.registered import query
+from schemaloom.runtime import small_frame
 from schemaloom.sources import readers
 
 # Declared types as they appear in DDL; chosen per part.
@@ -84,8 +85,6 @@ def infer_types(spark, sf_dir):
     select event_id, cast(event_type = 'error' as int) as flag,
       case when event_type = 'view' or event_type = 'click' then null else value end as value,
       cast(value as double) as amount,
-      case when octet_length(encode(repeat(props, cast(floor(value) as bigint) * 400))) <= 65536
-           then octet_length(encode(repeat(props, cast(floor(value) as bigint) * 400))) end as kept_bytes,
       strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, strftime(ts, '%Y-%m-%d') as day from events""",
 )
 def storable_values(spark, sf_dir):
@@ -95,12 +94,19 @@ def storable_values(spark, sf_dir):
         (kind == "error").alias("flag"),
         F.when(kind == "view", float("nan")).when(kind == "click", float("inf")).otherwise(value).alias("value"),
         value.cast("decimal(20,6)").alias("amount"),
-        F.encode(F.repeat("props", (F.floor(value) * 400).cast("int")), "UTF-8").alias("kept_bytes"),
         "ts",
         F.to_date("ts").alias("day"),
     )
-    kept = cells.select(*[storable(F.col(f.name), f.dataType).alias(f.name) for f in cells.schema.fields])
-    return kept.withColumn("kept_bytes", F.length("kept_bytes"))
+    return cells.select(*[storable(F.col(f.name), f.dataType).alias(f.name) for f in cells.schema.fields])
+
+
+@query(
+    "c4b_storable_bytes",
+    """select doc_id, case when octet_length(encode(text)) <= 65536 then md5(text) end as kept from documents""",
+)
+def storable_bytes(spark, sf_dir):
+    body = load(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("body"))
+    return body.select("doc_id", F.md5(storable(F.col("body"), body.schema["body"].dataType)).alias("kept"))
 
 
 def _spoilt(spark, sf_dir):
@@ -206,7 +212,8 @@ def inclusion(spark, sf_dir):
     candidates = keys.link_candidates(found)
     unique = keys.unique_parents(found, candidates)
     candidates = [c for c in candidates if (c.parent.database, c.parent.name, c.ref_column) in unique]
-    names = spark.createDataFrame(
+    names = small_frame(
+        spark,
         [(c.order, c.child.database, c.child.name, c.column, c.parent.name, c.ref_column) for c in candidates],
         keys.LINK_SCHEMA,
     )
@@ -363,7 +370,8 @@ def composite_links(spark, sf_dir):
 )
 def table_explorer(spark, sf_dir):
     index = schema_index(spark, sf_dir)
-    nullable = spark.createDataFrame(
+    nullable = small_frame(
+        spark,
         [(t.database, t.name, f.name, f.nullable) for t in index.tables for f in t.frame.schema.fields],
         "database string, table string, column string, nullable boolean",
     )

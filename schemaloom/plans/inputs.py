@@ -72,21 +72,19 @@ class SchemaIndex:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.tables = tables(spark, sf_dir)
-        self.columns = columns_frame(spark, self.tables)
+        self.columns = materialise(columns_frame(spark, self.tables))
         self.types = materialise(infer_types(self.tables))
         self.keys = materialise(keys.primary_keys(self.tables, self.columns))
         self.links = materialise(keys.infer_links(self.tables))
         self.samples = materialise(docs.shown_samples(docs.sample_values(self.tables)))
-        self.documents = materialise(
-            docs.table_documents(self.columns, self.types, self.keys, self.links, self.samples)
-        )
+        parts = (self.columns, self.types, self.keys, self.links, self.samples)
+        self.documents = materialise(docs.table_documents(*parts))
+        bare = docs.table_documents(*parts, with_database=False)
+        self._databases = materialise(docs.database_documents(bare))
 
     def database_documents(self) -> DataFrame:
-        """(d_id, text): one document per database."""
-        bare = docs.table_documents(
-            self.columns, self.types, self.keys, self.links, self.samples, with_database=False
-        )
-        return docs.database_documents(bare).select(F.col("id").alias("d_id"), "database", "table_count", "text")
+        """(d_id, database, table_count, text): one document per database."""
+        return self._databases.select(F.col("id").alias("d_id"), "database", "table_count", "text")
 
 
 _built: dict[tuple[str, str], SchemaIndex] = {}

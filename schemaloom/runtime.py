@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and go on from the written rows.
+
+    Cuts the lineage, survives lost executors, and gives later joins the true size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/schemaloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame of metadata known on the driver, in one partition."""
+    return spark.createDataFrame(rows, schema).coalesce(1)
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
