@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from schemaloom.plans import catalogue_queries, retrieval_queries  # noqa: F401
+from schemaloom.plans import catalogue_queries, retrieval_queries, rule_queries  # noqa: F401
 from schemaloom.plans.registered import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
