@@ -16,6 +16,44 @@ def category_counts(frame: DataFrame, category: str = "category") -> DataFrame:
     return frame.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _prepared(log: DataFrame) -> DataFrame:
+    """Views of each statement, computed once per row and read by all rules."""
+    sql = F.col("__sql")
+    return (
+        log.withColumn("__sql", strip(F.coalesce("sql", F.lit(""))))
+        .withColumn("__active", F.lower(strip(F.col("database"))))
+        .withColumn("__keywords", F.upper(rules.keyword_view(sql)))
+        .withColumn("__identifiers", F.upper(rules.identifier_view(sql)))
+        .withColumn("__open", rules.has_open_quote(sql))
+        .withColumn("__others", rules.qualifying_databases(sql))
+    )
+
+
+def _danger() -> list[tuple[Column, Column]]:
+    user_database = F.col("__active").rlike(rules.USER_DATABASE)
+    return rules.dangerous_cases(
+        F.col("__sql"), F.col("__keywords"), F.col("__identifiers"), F.col("__open"), user_database
+    )
+
+
+def judge_statements(log: DataFrame) -> DataFrame:
+    """Adds ``allowed``, ``category`` and ``reason`` to statements (sql, database); row-local."""
+    verdict = rules.statement_verdict(
+        F.col("__sql"), F.col("__active"), F.col("__keywords"), _danger(), F.col("__others")
+    )
+    return _prepared(log).withColumn("__verdict", verdict).select(*log.columns, "__verdict.*")
+
+
+def dangerous_statements(log: DataFrame) -> DataFrame:
+    """Statements with a dangerous construct, with its category and reason."""
+    return (
+        _prepared(log)
+        .withColumn("__verdict", rules.first_match(_danger(), F.lit(None)))
+        .filter("__verdict is not null")
+        .select(*log.columns, "__verdict.category", "__verdict.reason")
+    )
+
+
 def rule_pass_rate(cases: DataFrame, blocked: Column) -> DataFrame:
     """Blocked, total and the share blocked in percent."""
     return cases.agg(

@@ -224,7 +224,8 @@ def metric_means(rows: DataFrame, metrics: list[str]) -> DataFrame:
     )
     clean = F.when(~F.isnan("value"), F.col("value"))
     return values.groupBy("metric").agg(
-        F.coalesce(F.format_string("%.4f", F.avg(clean)), F.lit("N/A")).alias("mean"), F.count(clean).alias("n")
+        F.when(F.count(clean) > 0, F.format_string("%.4f", F.avg(clean))).otherwise("N/A").alias("mean"),
+        F.count(clean).alias("n"),
     )
 
 

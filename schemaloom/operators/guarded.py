@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schemaloom.functions import rules
 from schemaloom.functions.values import result_cell
+from schemaloom.operators.audit import judge_statements
+from schemaloom.runtime import small_frame
 
 MAX_ROWS = 1_000
 TIMEOUT_SECONDS = 10.0
@@ -30,11 +31,7 @@ class Result:
 
 
 def check_statement(spark: SparkSession, sql: str, database: str) -> None:
-    verdict = (
-        spark.createDataFrame([(sql, database)], "sql string, database string")
-        .select(F.inline(F.array(rules.sql_verdict(F.col("sql"), F.col("database")))))
-        .first()
-    )
+    verdict = judge_statements(small_frame(spark, [(sql, database)], "sql string, database string")).first()
     if not verdict["allowed"]:
         raise Refused(f"{verdict['category']}: {verdict['reason']}")
 

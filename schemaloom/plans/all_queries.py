@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from schemaloom.plans import catalogue_queries, retrieval_queries, rule_queries  # noqa: F401
+from schemaloom.plans import (  # noqa: F401
+    catalogue_queries,
+    history_queries,
+    result_queries,
+    retrieval_queries,
+    rule_queries,
+    source_queries,
+)
 from schemaloom.plans.registered import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -85,7 +85,7 @@ WORDS = "|".join(rules.FORBIDDEN_WORDS)
       from statements""",
 )
 def forbidden_words(spark, sf_dir):
-    return statements(spark, sf_dir).select("id", rules.forbidden_word(F.col("sql")).alias("word"))
+    return statements(spark, sf_dir).select("id", rules.forbidden_word(F.upper(rules.keyword_view(F.col("sql")))).alias("word"))
 
 
 FUNCTIONS = "|".join(rules.DANGEROUS_FUNCTIONS)
@@ -118,13 +118,7 @@ views as (select id, database, sql, {masked_sql("sql", False)} as kw, {masked_sq
       select id, split_part(v, '|', 1) as category, v[strpos(v, '|') + 1:] as reason from v where v is not null""",
 )
 def dangerous_constructs(spark, sf_dir):
-    sql = F.regexp_replace("sql", r"^\s+|\s+$", "")
-    return (
-        statements(spark, sf_dir)
-        .select("id", rules.dangerous_construct(sql, F.lit(False)).alias("v"))
-        .filter("v is not null")
-        .select("id", "v.category", "v.reason")
-    )
+    return audit.dangerous_statements(statements(spark, sf_dir)).select("id", "category", "reason")
 
 
 NAME = "(?:`[^`]+`|[A-Za-z0-9_]+)"
@@ -202,8 +196,7 @@ verdicts as (select id, split_part(v, '|', 1) as category, v[strpos(v, '|') + 1:
       select id, category = 'ok' as allowed, category, reason from verdicts""",
 )
 def statement_verdicts(spark, sf_dir):
-    verdict = rules.sql_verdict(F.col("sql"), F.col("database"))
-    return statements(spark, sf_dir).select("id", verdict.alias("v")).select("id", "v.*")
+    return audit.judge_statements(statements(spark, sf_dir)).select("id", "allowed", "category", "reason")
 
 
 @query(

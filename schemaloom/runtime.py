@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +34,31 @@ def materialise(df: DataFrame) -> DataFrame:
     Cuts the lineage, survives lost executors, and gives later joins the true size.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/schemaloom-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_TYPES = {
+    "string": pa.string(),
+    "int": pa.int32(),
+    "bigint": pa.int64(),
+    "double": pa.float64(),
+    "boolean": pa.bool_(),
+}
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A frame of metadata known on the driver, in one partition."""
-    return spark.createDataFrame(rows, schema).coalesce(1)
+    """A frame of metadata known on the driver; a local relation whose size Spark knows."""
+    fields = [f.split() for f in schema.split(",")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    arrays = [pa.array(c, ARROW_TYPES[kind]) for c, (_, kind) in zip(columns, fields)]
+    return spark.createDataFrame(pa.table(arrays, names=[name for name, _ in fields]))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/schemaloom-{name}-{uuid.uuid4().hex}"
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
