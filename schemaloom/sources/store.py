@@ -99,4 +99,11 @@ def lookup(documents: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 def write_results(results: DataFrame, path: str) -> None:
     """Evaluation results as CSV with the fixed header; quotes inside a cell are doubled."""
-    results.select(*RESULT_COLUMNS).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    results.select(*RESULT_COLUMNS).write.mode("overwrite").csv(
+        path,
+        header=True,
+        quote='"',
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
