@@ -18,14 +18,19 @@ def category_counts(frame: DataFrame, category: str = "category") -> DataFrame:
 
 def _prepared(log: DataFrame) -> DataFrame:
     """Views of each statement, computed once per row and read by all rules."""
-    sql = F.col("__sql")
+    sql, pieces = F.col("__sql"), F.col("__pieces")
     return (
         log.withColumn("__sql", strip(F.coalesce("sql", F.lit(""))))
-        .withColumn("__active", F.lower(strip(F.col("database"))))
-        .withColumn("__keywords", F.upper(rules.keyword_view(sql)))
-        .withColumn("__identifiers", F.upper(rules.identifier_view(sql)))
-        .withColumn("__open", rules.has_open_quote(sql))
-        .withColumn("__others", rules.qualifying_databases(sql))
+        .withColumn("__pieces", rules.sql_pieces(sql))
+        .withColumns(
+            {
+                "__active": F.lower(strip(F.col("database"))),
+                "__keywords": F.upper(rules.keyword_view(sql, pieces)),
+                "__identifiers": F.upper(rules.identifier_view(sql, pieces)),
+                "__open": rules.has_open_quote(sql, pieces),
+                "__others": rules.qualifying_databases(sql),
+            }
+        )
     )
 
 
@@ -48,9 +53,10 @@ def dangerous_statements(log: DataFrame) -> DataFrame:
     """Statements with a dangerous construct, with its category and reason."""
     return (
         _prepared(log)
-        .withColumn("__verdict", rules.first_match(_danger(), F.lit(None)))
-        .filter("__verdict is not null")
-        .select(*log.columns, "__verdict.category", "__verdict.reason")
+        # Generated rows keep the filter above the rules, so that they run once per row.
+        .select(*log.columns, F.inline_outer(F.array(rules.first_match(_danger(), F.lit(None)))))
+        .filter("category is not null")
+        .drop("allowed")
     )
 
 

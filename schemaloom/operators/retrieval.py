@@ -101,22 +101,41 @@ def table_name(metadata_name: Column, text: Column) -> Column:
 
 # --- feature join --------------------------------------------------------------------
 
-TOKEN, GRAM = "t", "g"
+# Keys are plain three-character pieces, or a word behind a mark. Marked keys are longer
+# than three characters, so the two never meet.
+TOKEN_MARK, BOOST_MARK = "tok:", "key:"
 
 
-def _question_keys(questions: DataFrame, tokens: Column, with_grams: bool = True) -> DataFrame:
-    """Questions with one row per distinct token and per distinct three-character piece.
+def _lowered(questions: DataFrame, **facts: Column) -> DataFrame:
+    """(q_id, q_text, facts...): lower-case questions, partitioned by id once.
 
-    Questions are partitioned by id once; the aggregate per (question, document) and
-    every later ranking per question reuse that partitioning.
+    The aggregate per (question, document) and every later ranking per question reuse
+    that partitioning. The text is lowered before the exchange, so once per question.
     """
-    text = F.lower("text")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(3))))
-    keys = F.transform(tokens, lambda t: F.struct(F.lit(TOKEN).alias("kind"), t.alias("key")))
+    extra = [fact.alias(name) for name, fact in facts.items()]
+    return questions.select("q_id", F.lower("text").alias("q_text"), *extra).repartition("q_id")
+
+
+def _grams(text: Column) -> Column:
+    """Distinct three-character pieces of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+
+
+def _marked(words: Column, mark: str) -> Column:
+    return F.transform(words, lambda w: F.concat(F.lit(mark), w))
+
+
+def _question_keys(
+    questions: DataFrame, tokens: Callable[[Column], Column] | None, with_grams: bool = True, **facts: Column
+) -> DataFrame:
+    """Questions with one row per distinct token and per distinct three-character piece."""
+    text, keys = F.col("q_text"), []
+    if tokens is not None:
+        keys.append(_marked(tokens(text), TOKEN_MARK))
     if with_grams:
-        keys = F.concat(keys, F.transform(grams, lambda g: F.struct(F.lit(GRAM).alias("kind"), g.alias("key"))))
-    return questions.repartition("q_id").select("q_id", text.alias("q_text"), F.inline(keys))
+        keys.append(_grams(text))
+    # The outer form builds the array once; the plain form would also build it in a filter.
+    return _lowered(questions, **facts).select("q_id", "q_text", *facts, F.explode_outer(F.concat(*keys)).alias("key"))
 
 
 def _token_features(documents: DataFrame, tokens: Column, **points: int) -> DataFrame:
@@ -130,8 +149,9 @@ def _features(parts: list[DataFrame], names: list[str]) -> DataFrame:
         shaped.append(
             part.select(
                 "d_id",
-                F.lit(GRAM if is_phrase else TOKEN).alias("kind"),
-                F.substring("phrase", 1, 3).alias("key") if is_phrase else F.col("key"),
+                F.substring("phrase", 1, 3).alias("key")
+                if is_phrase
+                else F.concat(F.lit(TOKEN_MARK), "key").alias("key"),
                 F.col("phrase") if is_phrase else F.lit(None).cast("string").alias("phrase"),
                 *[F.col(n) if n in part.columns else F.lit(None).cast("int").alias(n) for n in names],
             )
@@ -146,12 +166,12 @@ def match_features(keys: DataFrame, features: DataFrame) -> DataFrame:
     three-character pieces, so this equi-join finds every phrase contained in it.
     """
     whole = F.col("phrase").isNull() | F.col("q_text").contains(F.col("phrase"))
-    return keys.join(broadcast_if_small(features), ["kind", "key"]).filter(whole)
+    return keys.join(broadcast_if_small(features), "key").filter(whole)
 
 
 def overlap_scores(questions: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
     """(q_id, d_id, score): number of shared distinct tokens, for pairs that share one."""
-    keys = _question_keys(questions, tokens(F.col("text")), with_grams=False)
+    keys = _question_keys(questions, tokens, with_grams=False)
     features = _features([_token_features(documents, tokens(F.col("text")), hits=1)], ["hits"])
     return (
         match_features(keys, features).groupBy("q_id", "d_id").agg(F.sum("hits").cast("bigint").alias("score"))
@@ -166,7 +186,7 @@ def phrase_hits(questions: DataFrame, documents: DataFrame, min_chars: int = 3)
         .groupBy("d_id", "phrase")
         .agg(F.count(F.lit(1)).cast("int").alias("n"))
     )
-    keys = _question_keys(questions, F.array().cast("array<string>"))
+    keys = _question_keys(questions, None)
     return match_features(keys, _features([phrases], ["n"])).select("q_id", "d_id", "phrase", "n")
 
 
@@ -191,16 +211,15 @@ def hybrid_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
         ],
         ["terms", "values", "phrases"],
     )
-    matched = match_features(_question_keys(questions, words_wide(text)), features)
+    keys = _question_keys(questions, words_wide, two_words=F.size(words_wide(text)) >= 2)
     total = {n: F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in ("terms", "values", "phrases")}
-    linked = broadcast_if_small(documents.select("d_id", F.lower("text").contains("foreign keys:").alias("linked")))
-    # Every matched question keeps one row per document, so its word count rides along.
-    counts = questions.select("q_id", (F.size(words_wide(text)) >= 2).alias("two_words"))
-    scored = matched.groupBy("q_id", "d_id").agg(*total.values())
-    bonus = F.when(F.col("linked") & F.col("two_words"), 1).otherwise(0).cast("bigint")
+    linked = broadcast_if_small(documents.select("d_id", F.lower("text").contains("foreign keys:").alias("has_links")))
+    bonus = (F.col("has_links") & F.col("two_words")).cast("bigint")
     return (
-        scored.join(linked, "d_id")
-        .join(counts.repartition("q_id"), "q_id")
+        match_features(keys, features)
+        .groupBy("q_id", "d_id")
+        .agg(*total.values(), F.bool_or("two_words").alias("two_words"))
+        .join(linked, "d_id")
         .select(
             "q_id",
             "d_id",
@@ -237,8 +256,8 @@ def router_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
         [_token_features(documents, schema_terms_left(text), terms=1), value_tokens, phrases, tables],
         ["terms", "values", "table_code"],
     )
-    keys = _question_keys(questions, words_wide(text))
-    related = F.arrays_overlap(words_wide(F.col("q_text")), F.array(*[F.lit(w) for w in RELATION_WORDS]))
+    related = F.arrays_overlap(words_wide(text), F.array(*[F.lit(w) for w in RELATION_WORDS]))
+    keys = _question_keys(questions, words_wide, related=related)
     total = {n: F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in ("terms", "values")}
     # A database names at most a few hundred tables, so the set per pair stays small.
     table_count = F.least(F.size(F.collect_set("table_code")), F.lit(3)).cast("bigint")
@@ -247,7 +266,7 @@ def router_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
         .groupBy("q_id", "d_id")
         .agg(
             *total.values(),
-            F.when(F.bool_or(related), table_count).otherwise(0).cast("bigint").alias("relations"),
+            F.when(F.bool_or("related"), table_count).otherwise(0).cast("bigint").alias("relations"),
         )
         .select(
             "q_id",
@@ -272,54 +291,55 @@ def database_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
     A letter run lies inside a document only where the document holds the run's first
     three characters, so runs meet documents by that piece and are verified afterwards.
     """
-    text, lower = F.col("text"), F.lower("text")
     keywords = F.array(*[F.lit(w) for w in DATABASE_BOOST_WORDS])
-    present = F.filter(keywords, lambda w: lower.contains(w))
 
-    def keyed(values: Column, kind: str, points: int, whole: bool = False) -> Column:
+    def present(text: Column) -> Column:
+        return F.filter(keywords, lambda w: text.contains(w))
+
+    def keyed(values: Column, points: int, mark: str = "") -> Column:
+        """Values as (key, run, points); without a mark the value is a run, found by its start."""
         return F.transform(
             values,
             lambda v: F.struct(
-                F.lit(kind).alias("kind"),
-                (F.substring(v, 1, 3) if whole else v).alias("key"),
-                (v if whole else F.lit(None).cast("string")).alias("run"),
+                (F.concat(F.lit(mark), v) if mark else F.substring(v, 1, 3)).alias("key"),
+                (F.lit(None).cast("string") if mark else v).alias("run"),
                 F.lit(points).alias("points"),
             ),
         )
 
-    asked = questions.repartition("q_id").select(
+    asked_text = F.col("q_text")
+    asked = _lowered(questions).select(
         "q_id",
-        F.inline(
+        F.inline_outer(
             F.concat(
-                keyed(words_ascii(text), TOKEN, 1),
-                keyed(question_phrases(text), GRAM, 15, whole=True),
-                keyed(present, "k", DATABASE_BOOST),
+                keyed(words_ascii(asked_text), 1, TOKEN_MARK),
+                keyed(question_phrases(asked_text), 15),
+                keyed(present(asked_text), DATABASE_BOOST, BOOST_MARK),
             )
         ),
     )
-    starts = F.sequence(F.lit(1), F.greatest(F.length(lower) - 2, F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substr(lower, i, F.lit(3))))
-    offered = union_all(
-        [
-            documents.select("d_id", F.lit(kind).alias("kind"), F.explode(values).alias("key"))
-            for kind, values in ((TOKEN, words_ascii(text)), (GRAM, grams), ("k", present))
-        ]
-    )
-    texts = broadcast_if_small(documents.select("d_id", lower.alias("d_text")))
+    texts = documents.select("d_id", F.lower("text").alias("d_text"))
+    text = F.col("d_text")
+    held = F.concat(_marked(words_ascii(text), TOKEN_MARK), _marked(present(text), BOOST_MARK), _grams(text))
+    offered = texts.select("d_id", F.explode_outer(held).alias("key"))
     return (
-        asked.join(broadcast_if_small(offered), ["kind", "key"])
-        .join(texts, "d_id")
+        asked.join(broadcast_if_small(offered), "key")
+        .join(broadcast_if_small(texts), "d_id")
         .filter(F.col("run").isNull() | F.col("d_text").contains(F.col("run")))
         .groupBy("q_id", "d_id")
         .agg(F.sum("points").cast("bigint").alias("score"))
     )
 
 
+ALL_MARK = "all:"
+
+
 def table_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """(q_id, database, table, score) for every table of the question's database.
 
-    The documents of one database form one small array row. Each question is joined with
-    its database only and scores that array in place: nothing but the question is shuffled.
+    Words of a question look up the tables that hold them; one more key finds every table
+    of the database, so that tables without a hit are kept with what they score. Questions
+    are partitioned by id first: the sum per table and the ranking need no other shuffle.
     """
     text = F.col("text")
     right_sides = F.transform(
@@ -333,47 +353,52 @@ def table_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
         F.filter(right_sides, lambda v: F.length(v) >= 3),
         lambda v: F.struct(v.alias("value"), F.when(word_count(v) >= 2, 20).otherwise(3).alias("points")),
     )
-    shaped = documents.filter("table <> ''").select(
-        "database",
-        F.struct(
-            "table",
-            words_ascii(F.col("table")).alias("name_tokens"),
-            words_ascii(text).alias("tokens"),
-            values.alias("values"),
-            (F.col("kind") == "user").alias("is_user"),
-        ).alias("doc"),
-    )
-    catalogue = shaped.groupBy("database").agg(F.collect_list("doc").alias("docs"))
-    question, lower = F.col("q_tokens"), F.col("q_text")
-
-    def score(doc: Column) -> Column:
-        values_hit = F.filter(doc["values"], lambda v: lower.contains(v["value"]))
-        value_points = F.aggregate(values_hit, F.lit(0), lambda a, v: a + v["points"])
-        boosts = sum(
-            F.when(
-                ~doc["is_user"]
-                & lower.rlike("|".join(asked))
-                & F.lower(doc["table"]).contains(named),
-                points,
-            ).otherwise(0)
-            for asked, named, points in TABLE_BOOSTS
-        )
-        return (
-            F.size(F.array_intersect(question, doc["name_tokens"])) * 15
-            + F.size(F.array_intersect(question, doc["tokens"]))
-            + value_points
-            + boosts
-        ).cast("bigint")
+    named = documents.filter("table <> ''").withColumn("is_user", F.col("kind") == "user")
+    place = ["database", "table", "is_user"]
+    no_values = F.lit(None).cast("array<struct<value:string,points:int>>")
+
+    def words(column: Column, points: int) -> DataFrame:
+        keys = F.explode(_marked(words_ascii(column), TOKEN_MARK)).alias("key")
+        return named.select(*place, keys, F.lit(points).alias("points"), no_values.alias("values"))
 
-    scored = F.transform(F.col("docs"), lambda d: F.struct(d["table"].alias("table"), score(d).alias("score")))
+    features = union_all(
+        [
+            words(F.col("table"), 15),
+            words(text, 1),
+            named.select(*place, F.lit(ALL_MARK).alias("key"), F.lit(0).alias("points"), values.alias("values")),
+        ]
+    )
+    lower = F.col("q_text")
+    hits = F.filter("values", lambda v: lower.contains(v["value"]))
+    value_points = F.aggregate(hits, F.lit(0), lambda a, v: a + v["points"])
+    boosts = sum(
+        F.when(lower.rlike("|".join(asked)) & F.lower("table").contains(name), points).otherwise(0)
+        for asked, name, points in TABLE_BOOSTS
+    )
+    # Values and boosts count once per table, on the row of the key that finds every table.
+    once = value_points + F.when(F.col("is_user"), 0).otherwise(boosts)
+    keys = F.concat(_marked(words_ascii(lower), TOKEN_MARK), F.array(F.lit(ALL_MARK)))
     return (
-        questions.repartition("q_id")
-        .select("q_id", "database", F.lower("text").alias("q_text"), words_ascii(text).alias("q_tokens"))
-        .join(broadcast_if_small(catalogue), "database")
-        .select("q_id", "database", F.inline(scored))
+        _lowered(questions, database=F.col("database"))
+        .select("q_id", "database", "q_text", F.explode_outer(keys).alias("key"))
+        .join(broadcast_if_small(features), ["database", "key"])
+        .withColumn("points", F.when(F.col("values").isNull(), F.col("points")).otherwise(once))
+        .groupBy("q_id", "database", "table")
+        .agg(F.sum("points").cast("bigint").alias("score"))
     )
 
 
+def table_rankings(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """(q_id, database, tables): the scores of ``table_scores``, one row per question."""
+    return as_rankings(table_scores(questions, documents))
+
+
+def as_rankings(scored: DataFrame) -> DataFrame:
+    """Scored rows (q_id, database, table, score) as one row per question."""
+    tables = F.collect_list(F.struct("table", "score"))
+    return scored.groupBy("q_id", "database").agg(tables.alias("tables"))
+
+
 # --- top-k over large collections ----------------------------------------------------
 
 

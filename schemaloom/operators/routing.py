@@ -68,21 +68,26 @@ def route(questions: DataFrame, scores: DataFrame, databases: DataFrame) -> Data
     )
 
 
-def select_tables(scored: DataFrame, user_databases: bool = False) -> DataFrame:
-    """Best tables per question: the positive ones up to the limit, else the first three."""
+def select_tables(ranked: DataFrame, user_databases: bool = False) -> DataFrame:
+    """Adds ``selected`` (rank, table, score): the positive tables up to the limit, else the first three.
+
+    ``ranked`` has one row (q_id, database, tables) per question; everything up to the
+    context is decided inside that row, without a shuffle.
+    """
     limit = MAX_USER_TABLES if user_databases else MAX_TABLES
-    per_question = Window.partitionBy("q_id")
-    order = per_question.orderBy(F.desc("score"), "table")
-    return (
-        scored.withColumn("rank", F.row_number().over(order))
-        .withColumn("any_positive", F.max("score").over(per_question) > 0)
-        .filter(
-            F.when(F.col("any_positive"), (F.col("score") > 0) & (F.col("rank") <= limit)).otherwise(
-                F.col("rank") <= FALLBACK_TABLES
-            )
-        )
-        .drop("any_positive")
+    ordered = F.array_sort(
+        F.transform("tables", lambda t: F.struct((-t["score"]).alias("minus"), t["table"].alias("table")))
     )
+    ranked = ranked.withColumn("__ordered", ordered)
+    positive = F.filter("__ordered", lambda t: t["minus"] < 0)
+    picked = F.when(F.size(positive) > 0, F.slice(positive, 1, limit)).otherwise(
+        F.slice("__ordered", 1, FALLBACK_TABLES)
+    )
+    selected = F.transform(
+        picked,
+        lambda t, i: F.struct((i + 1).alias("rank"), t["table"].alias("table"), (-t["minus"]).alias("score")),
+    )
+    return ranked.withColumn("selected", selected).drop("__ordered")
 
 
 def link_graph(links: DataFrame) -> DataFrame:
@@ -96,59 +101,61 @@ def link_graph(links: DataFrame) -> DataFrame:
     )
 
 
-def bridge_tables(selected: DataFrame, links: DataFrame) -> DataFrame:
-    """(q_id, database, table): unselected tables that refer to two well-scored selected ones."""
-    edges = links.select("database", "table", F.lower("ref_table").alias("ref")).distinct()
-    strong = selected.filter(F.col("score") >= BRIDGE_MIN_SCORE).select(
-        "q_id", "database", F.lower("table").alias("ref")
-    )
-    return _linking(selected, strong, edges)
-
+def add_bridges(
+    selected: DataFrame, links: DataFrame, pairs: list[tuple[str, str]] = FORCED_PAIRS
+) -> DataFrame:
+    """Adds ``bridges`` and ``forced``: unselected tables that connect selected ones.
 
-def forced_bridges(selected: DataFrame, links: DataFrame, pairs: list[tuple[str, str]] = FORCED_PAIRS) -> DataFrame:
-    """Tables that refer to both tables of a named pair, when the question selected both."""
-    edges = links.select("database", "table", F.lower("ref_table").alias("ref")).distinct()
-    names = sorted({n for pair in pairs for n in pair})
-    chosen = selected.select("q_id", "database", F.lower("table").alias("ref")).filter(F.col("ref").isin(names))
-    found = None
-    for pair in pairs:
-        part = _linking(selected, chosen.filter(F.col("ref").isin(list(pair))), edges)
-        found = part if found is None else found.unionByName(part)
-    return found.distinct() if len(pairs) > 1 else found
+    A bridge refers to at least two selected tables with a score of 2 or more. A forced
+    bridge refers to both tables of a named pair that the question selected. The links of
+    a database arrive as one small row.
+    """
+    edges = links.groupBy("database", "table").agg(F.collect_set(F.lower("ref_table")).alias("refs"))
+    graph = edges.groupBy("database").agg(F.array_sort(F.collect_list(F.struct("table", "refs"))).alias("edges"))
+    names = F.transform("selected", lambda t: F.lower(t["table"]))
+    strong = F.transform(
+        F.filter("selected", lambda t: t["score"] >= BRIDGE_MIN_SCORE), lambda t: F.lower(t["table"])
+    )
+    joined = (
+        selected.join(broadcast_if_small(graph), "database", "left")
+        .withColumn("__names", names)
+        .withColumn("__strong", strong)
+    )
+    free = F.filter(
+        F.coalesce("edges", F.array().cast("array<struct<table:string,refs:array<string>>>")),
+        lambda e: ~F.array_contains(F.col("__names"), F.lower(e["table"])),
+    )
 
+    def both_ends(edge):
+        met = F.lit(False)
+        for a, b in pairs:
+            chosen = F.array_contains("__names", a) & F.array_contains("__names", b)
+            met = met | (chosen & F.array_contains(edge["refs"], a) & F.array_contains(edge["refs"], b))
+        return met
 
-def _linking(selected: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
-    already = selected.select("q_id", F.lower("table").alias("lower_table"))
+    bridges = F.filter("__free", lambda e: F.size(F.array_intersect(e["refs"], F.col("__strong"))) >= 2)
     return (
-        targets.join(broadcast_if_small(edges), ["database", "ref"])
-        .groupBy("q_id", "database", "table")
-        .agg(F.size(F.collect_set("ref")).alias("refs"))
-        .filter("refs >= 2")
-        .withColumn("lower_table", F.lower("table"))
-        .join(already, ["q_id", "lower_table"], "left_anti")
-        .select("q_id", "database", "table")
+        joined.withColumn("__free", free)
+        .withColumn("bridges", F.transform(bridges, lambda e: e["table"]))
+        .withColumn("forced", F.transform(F.filter("__free", both_ends), lambda e: e["table"]))
+        .select(*selected.columns, "bridges", "forced")
     )
 
 
-def assemble_context(selected: DataFrame, bridges: DataFrame, documents: DataFrame) -> DataFrame:
-    """(q_id, context, chars, tables): texts of the selected tables by score, then bridges.
+def assemble_context(chosen: DataFrame, documents: DataFrame) -> DataFrame:
+    """(q_id, context, tables, chars): texts of the selected tables by score, then bridges.
 
-    A question keeps at most eight tables and their bridges, so the text stays short.
+    The texts of a database arrive as one small row; only names travel with a question.
     """
-    chosen = selected.select("q_id", "database", "table", "rank").unionByName(
-        bridges.select("q_id", "database", "table", F.lit(1_000).alias("rank"))
+    texts = documents.groupBy("database").agg(
+        F.map_from_entries(F.collect_list(F.struct("table", "text"))).alias("texts")
     )
-    texts = broadcast_if_small(documents.select("database", "table", "text"))
-    parts = F.array_sort(F.collect_list(F.struct("rank", "table", "text")))
+    tables = F.array_distinct(F.concat("selected.table", "bridges", "forced"))
+    context = F.array_join(F.transform("all_tables", lambda t: F.col("texts")[t]), "\n\n")
     return (
-        chosen.join(texts, ["database", "table"])
-        .groupBy("q_id")
-        .agg(parts.alias("parts"))
-        .select(
-            "q_id",
-            F.array_join("parts.text", "\n\n").alias("context"),
-            F.col("parts.table").alias("tables"),
-        )
+        chosen.withColumn("all_tables", tables)
+        .join(broadcast_if_small(texts), "database")
+        .select("q_id", context.alias("context"), F.col("all_tables").alias("tables"))
         .withColumn("chars", F.length("context"))
     )
 

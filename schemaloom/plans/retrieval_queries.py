@@ -486,8 +486,11 @@ selected_ as (
   where case when any_positive then score > 0 and rank <= 5 else rank <= 3 end)"""
 
 
-def _selected(spark, sf_dir):
-    return routing.select_tables(_scored(spark, sf_dir))
+def _chosen(spark, sf_dir, pairs=()):
+    """One row per question: scored, selected and connecting tables."""
+    index = schema_index(spark, sf_dir)
+    ranked = retrieval.table_rankings(questions(spark, sf_dir), index.documents)
+    return routing.add_bridges(routing.select_tables(ranked), index.links, list(pairs))
 
 
 @query(
@@ -496,7 +499,8 @@ def _selected(spark, sf_dir):
     + ' select q_id, database, tab as "table", score, rank from selected_',
 )
 def select_tables(spark, sf_dir):
-    return _selected(spark, sf_dir)
+    ranked = retrieval.table_rankings(questions(spark, sf_dir), schema_index(spark, sf_dir).documents)
+    return routing.select_tables(ranked).select("q_id", "database", F.inline_outer("selected"))
 
 
 @query(
@@ -524,7 +528,8 @@ bridges_ as (
     + ' select q_id, database, tab as "table" from bridges_',
 )
 def bridge_tables(spark, sf_dir):
-    return routing.bridge_tables(_selected(spark, sf_dir), schema_index(spark, sf_dir).links)
+    found = _chosen(spark, sf_dir).select("q_id", "database", F.explode_outer("bridges").alias("table"))
+    return found.filter("table is not null")
 
 
 FORCED = [("customers", "nations"), ("parts", "suppliers")]
@@ -543,7 +548,8 @@ FORCED = [("customers", "nations"), ("parts", "suppliers")]
     ),
 )
 def forced_bridges(spark, sf_dir):
-    return routing.forced_bridges(_selected(spark, sf_dir), schema_index(spark, sf_dir).links, FORCED)
+    found = _chosen(spark, sf_dir, FORCED).select("q_id", "database", F.explode_outer("forced").alias("table"))
+    return found.filter("table is not null")
 
 
 @query(
@@ -555,10 +561,8 @@ def forced_bridges(spark, sf_dir):
       select q_id, md5(context) as digest, tables, cast(length(context) as int) as chars from ctx""",
 )
 def assemble_context(spark, sf_dir):
-    index = schema_index(spark, sf_dir)
-    selected = _selected(spark, sf_dir)
-    bridges = routing.bridge_tables(selected, index.links)
-    return routing.assemble_context(selected, bridges, index.documents).select(
+    context = routing.assemble_context(_chosen(spark, sf_dir), schema_index(spark, sf_dir).documents)
+    return context.select(
         "q_id", F.md5("context").alias("digest"), F.array_join("tables", ",").alias("tables"), "chars"
     )
 

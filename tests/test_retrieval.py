@@ -101,7 +101,7 @@ def test_overlap_top_k_matches_brute_force(spark, monkeypatch):
 
     def run():
         found = retrieval.overlap_top_k(q, d, 7, words_narrow).select("q_id", "d_id", "score", "rank")
-        return sorted(tuple(r) for r in found.collect())
+        return sorted((tuple(r) for r in found.collect()), key=lambda r: (r[0], r[3]))
 
     assert run() == expected
     # The same result when the questions are worked off in slices.
@@ -185,17 +185,15 @@ def test_selection_bridges_and_context(spark):
          ("d", "Minor_in", "sid", "Student", "id"), ("d", "Minor_in", "did", "Dept", "id")],
         "database string, table string, column string, ref_table string, ref_column string",
     )
-    selected = routing.select_tables(scored)
-    picked = {}
-    for r in selected.collect():
-        picked.setdefault(r["q_id"], set()).add(r["table"])
-    assert picked == {1: {"Student", "Course", "Dept"}, 2: {"Course", "Dept", "Enrolled_in"}}
-    bridges = routing.bridge_tables(selected, links)
+    selected = routing.select_tables(retrieval.as_rankings(scored))
+    picked = {r["q_id"]: [t["table"] for t in r["selected"]] for r in selected.collect()}
+    assert picked == {1: ["Student", "Course", "Dept"], 2: ["Course", "Dept", "Enrolled_in"]}
+    chosen = routing.add_bridges(selected, links)
+    got = {r["q_id"]: (r["bridges"], r["forced"]) for r in chosen.collect()}
     # Dept scored too low, so Minor_in is no bridge.
-    assert [tuple(r) for r in bridges.collect()] == [(1, "d", "Enrolled_in")]
-    assert [tuple(r) for r in routing.forced_bridges(selected, links).collect()] == [(1, "d", "Enrolled_in")]
+    assert got == {1: (["Enrolled_in"], ["Enrolled_in"]), 2: ([], [])}
     docs = scored.filter("q_id = 1").select("database", "table", F.concat(F.lit("TABLE: "), "table").alias("text"))
-    context = {r["q_id"]: r["context"] for r in routing.assemble_context(selected, bridges, docs).collect()}
+    context = {r["q_id"]: r["context"] for r in routing.assemble_context(chosen, docs).collect()}
     assert context[1] == "TABLE: Student\n\nTABLE: Course\n\nTABLE: Dept\n\nTABLE: Enrolled_in"
 
 
