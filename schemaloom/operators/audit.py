@@ -247,18 +247,13 @@ def audit_grants(lines: DataFrame, allowed: DataFrame | None = None) -> DataFram
         .distinct()
     )
     # Five names per account are shown; the rest is only counted.
-    ranked = names.withColumn(
-        "rn", F.row_number().over(Window.partitionBy("account").orderBy("database"))
-    )
-    shown = ranked.groupBy("account").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("rn") <= 5, F.struct("rn", "database")))),
-                lambda x: x["database"],
-            ),
-            ", ",
-        ).alias("names"),
+    order = Window.partitionBy("account").orderBy("database")
+    first = names.withColumn("rn", F.row_number().over(order)).filter("rn <= 5")
+    listed = F.array_join(F.array_sort(F.collect_list("database")), ", ")
+    shown = (
+        first.groupBy("account")
+        .agg(listed.alias("names"))
+        .join(names.groupBy("account").agg(F.count(F.lit(1)).alias("n")), "account")
     )
     more = F.when(F.col("n") > 5, F.concat(F.lit(" (+"), (F.col("n") - 5).cast("string"), F.lit(" more)"))).otherwise("")
     beyond = shown.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from schemaloom.functions.rules import has_order_by
 from schemaloom.functions.text import clean_sql, normal_sql, strip
 from schemaloom.functions.values import comparable_cell
-from schemaloom.runtime import broadcast_if_small
+from schemaloom.runtime import broadcast_if_small, materialise
 
 # Accepted headers of a gold question file, in order of preference.
 DATABASE_HEADERS = ["database", "db_id", "db", "database_id"]
@@ -230,5 +230,23 @@ def metric_means(rows: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, query: str, order: list[str]) -> DataFrame:
-    """Positions of the rows of each query in a declared order."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
+    """Positions (from 1) of the rows of each query in a declared order.
+
+    Rows are range-partitioned by query and order, numbered inside each range, and shifted
+    by the rows of the earlier ranges. A query with very many rows spans many ranges, so it
+    is never sorted in one task. The ranges are written once, as two steps read them.
+    """
+    ranged = materialise(rows.repartitionByRange(query, *order).withColumn("__range", F.spark_partition_id()))
+    inside = Window.partitionBy(query, "__range").orderBy(*order)
+    before = Window.partitionBy(query).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranged.groupBy(query, "__range")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(query, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    )
+    return (
+        ranged.withColumn("__inside", F.row_number().over(inside))
+        .join(offsets, [query, "__range"])
+        .withColumn("position", F.col("__before") + F.col("__inside"))
+        .drop("__range", "__inside", "__before")
+    )

@@ -207,13 +207,12 @@ def quota(spark, sf_dir):
 
 @query(
     "u4_active",
-    f"""with {REGISTRY_SQL} select id, size_bytes, status, strftime(created_at, '%Y-%m-%d') as created,
-        cast(row_number() over (partition by owner order by created_at desc, id desc) as int) as position
+    f"""with {REGISTRY_SQL} select id, size_bytes, status, strftime(created_at, '%Y-%m-%d') as created
       from registry where expires_at is null or expires_at > {NOW_SQL}""",
 )
 def active(spark, sf_dir):
     rows = reg.active(registry(spark, sf_dir), now())
-    return rows.select("id", "size_bytes", "status", F.date_format("created_at", "yyyy-MM-dd").alias("created"), "position")
+    return rows.select("id", "size_bytes", "status", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
 
 @query(

@@ -73,9 +73,13 @@ def load_totals(report: DataFrame) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Replace the documents of exactly the databases in ``documents``; others stay."""
+    """Replace the documents of exactly the databases in ``documents``; others stay.
+
+    Rebalancing gives each folder few files, and splits a very large database over tasks.
+    """
     (
-        documents.write.mode("overwrite")
+        documents.hint("rebalance", F.col("database"))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("database")
         .parquet(path)

@@ -196,3 +196,17 @@ def test_context_fallbacks(spark):
         2: ("vector", ["one"]),
         3: ("none", ["DATABASE: e\nNo schema context retrieved."]),
     }
+
+
+def test_numbering_over_ranges(spark):
+    # One query holds most rows; its positions run through all ranges.
+    frame = spark.range(0, 3000).select(
+        F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id") % 7 + 2).alias("query"), ((F.col("id") * 7919) % 3001).alias("key")
+    )
+    got = evaluation.numbered(frame.repartition(6), "query", ["key"]).collect()
+    by_query = {}
+    for r in got:
+        by_query.setdefault(r["query"], []).append((r["key"], r["position"]))
+    for found in by_query.values():
+        assert [p for _, p in sorted(found)] == list(range(1, len(found) + 1))
+    assert len(got) == 3000
