@@ -65,24 +65,21 @@ def shown_samples(samples: DataFrame) -> DataFrame:
 
 
 def first_values(table: Table, order_by: list[str], keep: int = SAMPLES_PER_COLUMN) -> DataFrame:
-    """First non-null values per column in a declared row order, repeats included."""
-    names = _text_columns(table)
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in names
+    """First non-null values per column in a declared row order, repeats included.
+
+    Per column, a task keeps ``keep`` rows while it reads two columns; nothing is sorted.
+    """
+    place = [F.lit(table.database).alias("database"), F.lit(table.name).alias("table")]
+    heads = [
+        table.frame.filter(F.col(f"`{c}`").isNotNull())
+        .orderBy(*order_by)
+        .limit(keep)
+        .select(*place, F.lit(c).alias("column"), *[F.col(o).alias(f"__{o}") for o in order_by], F.col(f"`{c}`").cast("string").alias("value"))
+        for c in _text_columns(table)
     ]
-    rows = table.frame.select(*order_by, F.inline(F.array(*cells))).filter("value is not null")
-    order = Window.partitionBy("column").orderBy(*order_by)
-    return (
-        rows.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= keep)
-        .select(
-            F.lit(table.database).alias("database"),
-            F.lit(table.name).alias("table"),
-            "column",
-            "position",
-            "value",
-        )
-    )
+    hidden = [f"__{o}" for o in order_by]
+    order = Window.partitionBy("column").orderBy(*hidden)
+    return union_all(heads).withColumn("position", F.row_number().over(order)).drop(*hidden)
 
 
 def table_documents(

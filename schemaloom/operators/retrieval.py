@@ -27,6 +27,9 @@ from schemaloom.runtime import broadcast_if_small, materialise
 # Questions sent to the tasks at once; more are worked off in equal slices.
 QUESTION_SLICE = 4_000
 
+# Vectors of a batch are multiplied with this many query vectors at a time.
+QUERY_BLOCK = 256
+
 # Words of a question about related tables.
 RELATION_WORDS = ["participate", "participating", "belong", "taken", "enrolled", "related", "between", "each"]
 
@@ -461,7 +464,8 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, same_group: boo
 
     def run(batch: pd.DataFrame) -> DataFrame:
         ids = batch["q_id"].tolist()
-        matrix = np.array([list(v) for v in batch["vector"]], dtype="float64")
+        matrix = np.array([list(v) for v in batch["vector"]], dtype="float64").reshape(len(ids), -1 if ids else 0)
+        query_sizes = np.einsum("ij,ij->i", matrix, matrix)
         groups = {}
         for n, g in enumerate(batch["grp"].tolist() if same_group else [None] * len(batch)):
             groups.setdefault(g, []).append(n)
@@ -477,9 +481,19 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, same_group: boo
                 near_ids = d_ids if g is None else d_ids[row_groups == g]
                 if not len(near):
                     continue
-                for n in members:
-                    gap = near - matrix[n]
-                    yield ids[n], near_ids, np.einsum("ij,ij->i", gap, gap)
+                sizes = np.einsum("ij,ij->i", near, near)
+                for start in range(0, len(members), QUERY_BLOCK):
+                    block = members[start : start + QUERY_BLOCK]
+                    # A matrix product gives distances up to rounding; every row within a
+                    # margin far above the rounding error is measured again exactly.
+                    rough = sizes[:, None] + query_sizes[block] - 2.0 * near @ matrix[block].T
+                    last = min(k, len(near)) - 1
+                    margin = 1e-9 * (1.0 + sizes.max() + query_sizes[block])
+                    limit = np.partition(rough, last, axis=0)[last] + margin
+                    for at, n in enumerate(block):
+                        kept = np.flatnonzero(rough[:, at] <= limit[at])
+                        gap = near[kept] - matrix[n]
+                        yield ids[n], near_ids[kept], np.einsum("ij,ij->i", gap, gap)
 
         found = vectors.select(*columns).mapInPandas(
             _best_in_task(score, k, largest=False), "q_id bigint, d_id bigint, value double"
