@@ -277,6 +277,7 @@ def access(spark, sf_dir):
     return reg.check_access(requests, registry(spark, sf_dir), allowed, now())
 
 
+# Sizes round half up, as the display does; printf alone would round a tie to even.
 @query(
     "u8_days_and_sizes",
     f"""with {REGISTRY_SQL}, d as (select id, size_bytes, expires_at,
@@ -284,8 +285,8 @@ def access(spark, sf_dir):
       select id, case when expires_at is null then null when us <= 0 then 'expiring'
           when ceil(us / 86400000000) = 1 then '1 day left' else cast(ceil(us / 86400000000) as bigint) || ' days left' end as days,
         case when size_bytes < 1024 then size_bytes || ' B'
-             when size_bytes < 1048576 then printf('%.1f', size_bytes / 1024.0) || ' KB'
-             else printf('%.1f', size_bytes / 1048576.0) || ' MB' end as size from d""",
+             when size_bytes < 1048576 then printf('%.1f', floor(size_bytes * 10 / 1024.0 + 0.5) / 10) || ' KB'
+             else printf('%.1f', floor(size_bytes * 10 / 1048576.0 + 0.5) / 10) || ' MB' end as size from d""",
 )
 def days_and_sizes(spark, sf_dir):
     return registry(spark, sf_dir).select(
