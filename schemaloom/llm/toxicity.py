@@ -20,13 +20,14 @@ TERMS = 600
 VOTERS = 24
 #: Characters of a word start.
 START = 5
-#: A term needs so many toxic training documents and so high a log odds ratio.
+#: A term needs so many toxic training documents, in all and as a share, and so high a log odds ratio.
 LEAST = 5
-LEAST_ODDS = 2.0
+LEAST_SHARE = 0.01
+LEAST_ODDS = 4.0
 #: Labelled rows, chosen by hash, on which label model and classifier are fitted; lexicon counts are over all.
 FIT_ROWS = 20_000
 ROUNDS = 25
-RIDGE = 1.0
+RIDGE = 0.1
 THRESHOLD = 0.7
 #: Terms that a task counts before it hands the counts on.
 COUNTED = 300_000
@@ -38,7 +39,7 @@ PATTERNS = [
     re.compile(r"!!"),
     re.compile(r"\b[A-Z]{4,}\b.{0,80}\b[A-Z]{4,}\b"),
     re.compile(r"\b(?:you|your|du|dich|tu|toi|te|usted)\b.{0,40}!", re.I),
-    re.compile(r"([^\W\d_])\1{3,}"),
+    re.compile(r"([^\W\d_])\1{5,}"),
 ]
 
 
@@ -91,7 +92,7 @@ def choose_lexicon(counts: DataFrame, n_toxic: int, n_clean: int, size: int = TE
     odds = (
         f"ln((n_toxic + 0.5) / {n_toxic + 1.0}) - ln((n - n_toxic + 0.5) / {n_clean + 1.0})"
     )
-    strong = counts.where(f"n_toxic >= {LEAST}").withColumn("odds", F.expr(odds)).where(f"odds >= {LEAST_ODDS}")
+    strong = counts.where(f"n_toxic >= {max(LEAST, LEAST_SHARE * n_toxic)}").withColumn("odds", F.expr(odds)).where(f"odds >= {LEAST_ODDS}")
     top = strong.orderBy(F.desc(F.col("n_toxic") * F.col("odds")), "term").limit(size)
     return [r.term for r in top.select("term").collect()]
 
@@ -121,53 +122,66 @@ class Features:
         return out
 
     def votes(self, rows: list[list[int]]) -> np.ndarray:
-        out = np.zeros((len(rows), self.voters + len(PATTERNS)))
+        out = np.zeros((len(rows), self.voters + len(PATTERNS) + 1))
         for i, found in enumerate(rows):
             out[i, [self.voter(f) for f in found]] = 1
+        out[:, -1] = ~out[:, : self.voters].any(axis=1)  # no term of the lexicon at all: a vote for clean
         return out
 
 
 def label_posteriors(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, dict]:
     """Posterior of the toxic class under a generative model of the votes, fitted by expectation maximisation.
 
-    Each voter has a rate of voting toxic per class (its accuracy). Voters that still agree where the
-    class explains their votes are correlated; each voter's evidence is divided by one plus its
-    correlations with the others, so that a crowd that votes alike counts about once.
+    A voter votes or abstains, and has a rate of voting per class (its accuracy); abstaining is no
+    evidence. Voters that still agree where the class explains their votes are correlated; each voter's
+    evidence is divided by one plus its correlations with the others that vote with it, so that a crowd
+    that votes alike counts about once. ``start`` is the given label as a probability; it is a voter of
+    that fixed accuracy, which keeps the classes from drifting.
     """
     posterior = start.astype(float)
+    given = np.log(start / (1 - start))
     weights = np.ones(votes.shape[1])
     for _ in range(rounds):
         prior = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
         total = np.array([(1 - posterior).sum(), posterior.sum()])
         toxic_votes = np.stack([(1 - posterior) @ votes, posterior @ votes])
-        rates = (toxic_votes + [[0.1], [1.0]]) / (total[:, None] + 2)
+        rates = (toxic_votes + 0.5) / (total[:, None] + 1)
         rest = votes - ((1 - posterior)[:, None] * rates[0] + posterior[:, None] * rates[1])
         scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
         related = (rest.T @ rest) / len(votes) / np.outer(scale, scale)
         np.fill_diagonal(related, 0)
-        weights = 1 / (1 + np.clip(related, 0, 1).sum(axis=1))
-        ratio = votes * np.log(rates[1] / rates[0]) + (1 - votes) * np.log((1 - rates[1]) / (1 - rates[0]))
-        logit = np.log(prior / (1 - prior)) + ratio @ weights
+        related = np.clip(related, 0, 1)
+        weights = 1 / (1 + related.sum(axis=1))
+        shared = 1 / (1 + votes @ related)  # by document: only voters that vote there
+        logit = given + np.log(prior / (1 - prior)) + (votes * shared) @ np.log(rates[1] / rates[0])
         posterior = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
     return posterior, {"prior": prior, "rates": rates, "weights": weights, "correlations": related}
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 12) -> np.ndarray:
-    """Logistic regression on soft labels by Newton's method; the last weight is the constant."""
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 20) -> np.ndarray:
+    """Logistic regression on soft labels by damped Newton steps; the last weight is the constant."""
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
     w = np.zeros(x.shape[1])
     mean = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     w[-1] = np.log(mean / (1 - mean))
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        logit = x @ w
+        return float((np.logaddexp(0, logit) - y * logit).sum() + (penalty * w * w).sum() / 2)
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
         gradient = x.T @ (p - y) + penalty * w
         curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        step, size = np.linalg.solve(curve, gradient), 1.0
+        while (after := loss(w - size * step)) > now and size > 1e-4:
+            size /= 2
+        if after >= now - 1e-7 * abs(now):
             break
+        w, now = w - size * step, after
     return w
 
 
