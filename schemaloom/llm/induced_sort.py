@@ -3,8 +3,9 @@
 ``sorted_suffixes`` sorts the suffixes of one shard. Suffixes are queued by their first symbol in
 monotone queues that keep order of arrival and move to disk beyond a bound; a queue entry carries the
 suffix and its common-prefix length with the entry before it. Popping a suffix pushes the one that
-starts a symbol earlier, so that each pass sorts one type of suffixes from the other. Names of the
-substrings between turning points form a shorter text, which is sorted by the same function.
+starts a symbol earlier, so that each pass sorts one type of suffixes from the other. The substrings
+between turning points are sorted as tuples; their names form a shorter text, which is sorted by the
+same function.
 """
 
 from __future__ import annotations
@@ -173,15 +174,17 @@ def induce_by_range(text, keys, seeds, wanted, scratch) -> np.ndarray:
     """
     queue = Queue(scratch)
     n_keys = int(keys.max()) + 1
-    width = max(1, n_keys * BUCKET // max(len(text), 1))
-    by_key = keys[text[seeds]]
-    n_buckets = -(-n_keys // width)
-    bounds = np.searchsorted(by_key, np.arange(n_buckets + 1) * width)
+    # Ranges hold about BUCKET entries each, so that a frequent symbol has a range of its own.
+    many = np.zeros(n_keys, np.int64)
+    many[keys] = np.bincount(text, minlength=len(keys))
+    before_key = np.cumsum(many) - many
+    bucket_of = np.cumsum(np.append(True, before_key[1:] // BUCKET != before_key[:-1] // BUCKET)) - 1
+    n_buckets = int(bucket_of[-1]) + 1
+    bounds = np.searchsorted(bucket_of[keys[text[seeds]]], np.arange(n_buckets + 1))
     size = len(seeds) + int(np.count_nonzero(wanted))
     order = scratch.empty(size, np.int64)
     filled = 0
     for bucket in range(n_buckets):
-        top = (bucket + 1) * width
         first = queue.pop(bucket)[:, 0]
         own = seeds[bounds[bucket] : bounds[bucket + 1]]
         fixed = np.concatenate([first, own])
@@ -195,7 +198,7 @@ def induce_by_range(text, keys, seeds, wanted, scratch) -> np.ndarray:
             before = found - 1
             good = np.flatnonzero((before >= 0) & wanted[before])
             child_keys = keys[text[before[good]]]
-            inside = child_keys < top
+            inside = bucket_of[child_keys] == bucket
             good, child_keys = good[inside], child_keys[inside]
             if not len(good):
                 break
@@ -208,7 +211,7 @@ def induce_by_range(text, keys, seeds, wanted, scratch) -> np.ndarray:
         filled += len(found)
         before = found - 1
         good = before[(before >= 0) & wanted[before]]
-        to = keys[text[good]] // width
+        to = bucket_of[keys[text[good]]]
         later = to > bucket
         good, to = good[later], to[later]
         by = np.argsort(to, kind="stable")
@@ -235,27 +238,42 @@ def shared_prefixes(text: np.ndarray, left: np.ndarray, right: np.ndarray, cap:
     return out
 
 
-def name_substrings(text, turning, ordered, scratch) -> tuple[np.ndarray, int]:
-    """Names, by place in the text, of the substrings from one turning point to the next; equal ones alike."""
+def name_substrings(text: np.ndarray, falling: np.ndarray, turning: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks of the substrings from each turning point to the next one; equal substrings have one rank.
+
+    Symbols are compared with their types, of which falling ones are smaller; so no substring is the
+    beginning of another. As many symbols as fit into a sort key are compared at a time.
+    """
     n = len(text)
-    index = scratch.empty(n, np.int64)
-    index[turning] = np.arange(len(turning))
     lengths = np.append(np.diff(turning), n - turning[-1] - 1) + 1
-    which = index[ordered]
-    long = lengths[which]
-    same = np.zeros(len(ordered), bool)
-    alive = np.flatnonzero(long[1:] == long[:-1]) + 1
-    d = 0
-    while len(alive):
-        done = long[alive] == d
-        same[alive[done]] = True
-        alive = alive[~done]
-        alive = alive[text[ordered[alive] + d] == text[ordered[alive - 1] + d]]
-        d += 1
-    names = np.cumsum(~same) - 1
-    out = scratch.empty(len(turning), np.int64)
-    out[which] = names
-    return out, int(names[-1]) + 1
+    bits = max(int(2 * int(text.max()) + 1).bit_length(), 1)
+    per_key = max(1, 62 // bits)
+    ranks = np.zeros(len(turning), np.int64)
+    open_ones = np.arange(len(turning))
+    done = 0
+    while len(open_ones):
+        key = np.zeros(len(open_ones), np.int64)
+        at, left = turning[open_ones] + done, lengths[open_ones] - done
+        for i in range(per_key):
+            inside = left > i
+            place = at[inside] + i
+            key <<= bits
+            key[inside] += 2 * text[place].astype(np.int64) + ~falling[place]
+        by = np.lexsort((key, ranks[open_ones])) if done else np.argsort(key, kind="stable")
+        group, key = ranks[open_ones[by]], key[by]
+        new_group = np.append(True, group[1:] != group[:-1])
+        new = new_group | np.append(True, key[1:] != key[:-1])
+        # A group of one rank keeps the places from its rank on; each part takes its first place.
+        first = np.maximum.accumulate(np.where(new_group, np.arange(len(by)), 0))
+        part = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+        ranks[open_ones[by]] = group + part - first
+        done += per_key
+        size = np.diff(np.append(np.flatnonzero(new), len(by)))
+        alone = np.repeat(size == 1, size)
+        rest = open_ones[by][~alone]
+        open_ones = rest[lengths[rest] > done]
+    used = np.unique(ranks)
+    return np.searchsorted(used, ranks), len(used)
 
 
 def suffix_order(text: np.ndarray, cap: int, scratch: Scratch, small: bool) -> tuple[np.ndarray, np.ndarray | None]:
@@ -291,15 +309,13 @@ def suffix_order(text: np.ndarray, cap: int, scratch: Scratch, small: bool) -> t
 
     rising_but_last = rising.copy()
     rising_but_last[n - 1] = False
-    by = turning[np.argsort(text[turning], kind="stable")]
-    first, _ = both_passes(by, np.zeros(len(by), np.int64))
-    is_turning = np.zeros(n, bool)
-    is_turning[turning] = True
-    ordered = first[is_turning[first]]
-    names, distinct = name_substrings(text, turning, ordered, scratch)
+    names, distinct = name_substrings(text, falling, turning)
     if distinct < len(turning):
         below, _ = suffix_order(names, cap, scratch, False)
         ordered = turning[below]
+    else:
+        ordered = scratch.empty(len(turning), np.int64)
+        ordered[names] = turning
     prefixes = np.zeros(len(ordered), np.int64)
     if small and len(ordered) > 1:
         prefixes[1:] = shared_prefixes(text, ordered[:-1], ordered[1:], cap)

@@ -213,7 +213,7 @@ def first_owners(texts: list[bytes], firsts: np.ndarray, length: int) -> tuple[n
 def sort_shards(strings: DataFrame, length: int, shard: int) -> DataFrame:
     """(s1, s2, from, to, first) for the distinct stretches ``strings(anchor, s1, s2, bytes, first)``.
 
-    Rows arrive sorted by anchor; a shard takes whole anchors. Beyond the sort's bound in memory, its
+    Rows arrive sorted by anchor; a shard takes whole anchors, and those with one stretch need no sort. Beyond the sort's bound in memory, its
     queues and arrays are on the task's disk.
     """
 
@@ -222,11 +222,19 @@ def sort_shards(strings: DataFrame, length: int, shard: int) -> DataFrame:
 
         def settle(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             whole = pa.Table.from_batches(parts)
-            texts = whole["bytes"].to_pylist()
-            firsts = whole["first"].to_numpy()
-            doc, a, b, first = first_owners(texts, firsts, length)
-            s1, s2 = (whole[n].to_numpy()[doc] for n in ("s1", "s2"))
-            return pa.record_batch([pa.array(x) for x in (s1, s2, a.astype(np.int32), b.astype(np.int32), first)], names)
+            anchors = whole["anchor"].to_numpy()
+            same = np.append(anchors[1:] == anchors[:-1], False)
+            alone = np.flatnonzero(~(same | np.append(False, same[:-1])))  # nothing to compare with
+            sizes = pc.binary_length(whole["bytes"]).to_numpy()[alone]
+            s1, s2, first = (whole[n].to_numpy() for n in ("s1", "s2", "first"))
+            rows, a, b, least = alone, np.zeros(len(alone), np.int64), sizes - length + 1, first[alone]
+            more = np.flatnonzero(same | np.append(False, same[:-1]))
+            if len(more):
+                doc, c, d, found = first_owners(whole["bytes"].take(pa.array(more)).to_pylist(), first[more], length)
+                rows, least = np.append(rows, more[doc]), np.append(least, found)
+                a, b = np.append(a, c), np.append(b, d)
+            columns = (s1[rows], s2[rows], a.astype(np.int32), b.astype(np.int32), least)
+            return pa.record_batch([pa.array(x) for x in columns], names)
 
         parts: list[pa.RecordBatch] = []
         held, anchor = 0, None
@@ -300,7 +308,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
 
     rows = anchor_rows(long, length, gram).repartition("anchor").sortWithinPartitions("anchor", "t")
     spans = shared_anchors(rows).groupBy("t").agg(F.collect_list(F.struct("anchor", "at", "windows")).alias("spans"))
-    spans = spans.join(owners, "t").select(F.col("first").alias("doc_id"), "t", "spans")
+    spans = materialise(spans.join(owners, "t").select(F.col("first").alias("doc_id"), "t", "spans"))
     found = materialise(cut_stretches(long.select("doc_id", "t", "text").join(spans, ["doc_id", "t"]), length))
     strings = found.groupBy("anchor", "bytes").agg(F.min("doc_id").alias("first"))
     name = {"s1": F.xxhash64("bytes"), "s2": F.xxhash64("bytes", F.lit("second"))}
@@ -312,4 +320,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     )
     copies = ids.join(owners, ["t", "t2"]).where("doc_id > first").select("doc_id", "t", F.lit(0), "n")
     cuts = repeats.union(copies).groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    return cut_out(named.select("doc_id", "t", "text").join(cuts, ["doc_id", "t"], "left"))
+    return cut_out(named.select("doc_id", "t", "text").join(materialise(cuts), ["doc_id", "t"], "left"))
