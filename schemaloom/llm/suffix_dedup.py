@@ -313,7 +313,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     strings = found.groupBy("anchor", "bytes").agg(F.min("doc_id").alias("first"))
     name = {"s1": F.xxhash64("bytes"), "s2": F.xxhash64("bytes", F.lit("second"))}
     strings = strings.withColumns(name).repartition("anchor").sortWithinPartitions("anchor")
-    owned = sort_shards(strings, length, shard)
+    owned = materialise(sort_shards(strings, length, shard))
     repeats = found.withColumns(name).select("s1", "s2", "doc_id", "t", "at").join(owned, ["s1", "s2"])
     repeats = repeats.where("first < doc_id").select(
         "doc_id", "t", F.expr("at + `from`").alias("start"), F.expr(f"at + `to` - 1 + {length}").alias("end")
