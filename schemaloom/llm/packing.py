@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from schemaloom.llm.tokens import ByteBpe
+from schemaloom.llm.tokens import byte_bpe
 
 LENGTH = 2048
 END = 1
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(tokenizer)
+        bpe = byte_bpe(tokenizer)
         packer = Packer(bpe.ends_with(".!?\n", end), length, TaskContext.get().partitionId() << 40)
         closing = np.array([end], np.uint32)
         for batch in batches:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,6 +97,12 @@ class Trie:
         return node
 
 
+@lru_cache(maxsize=2)
+def worker_trie(vocabulary: str) -> Trie:
+    """One trie per worker and vocabulary, which the worker's tasks share; its size is bounded."""
+    return Trie(Unigram.from_file(vocabulary))
+
+
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``docs`` with n_words and n_tokens of ``text`` (underscores in front if the names are taken).
 
@@ -105,21 +113,25 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     words, tokens = free_name(docs, "n_words"), free_name(docs, "n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(Unigram.from_file(vocabulary))
-        for batch in batches:
-            n_words, n_tokens = [], []
-            for text in batch["text"]:
-                found = (text.as_py() or "").split()
-                known = trie.terminal.get
-                total = 0
-                for w in found:
-                    n = known(w)
-                    total += trie.add(w) if n is None else n
-                n_words.append(len(found))
-                n_tokens.append(total)
-            yield pa.record_batch(
-                [*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())],
-                [*batch.schema.names, words, tokens],
-            )
+        trie = worker_trie(vocabulary)
+        gc.disable()  # a trie has no cycles, and its many nodes make each collection long
+        try:
+            for batch in batches:
+                n_words, n_tokens = [], []
+                for text in batch["text"]:
+                    found = (text.as_py() or "").split()
+                    known = trie.terminal.get
+                    total = 0
+                    for w in found:
+                        n = known(w)
+                        total += trie.add(w) if n is None else n
+                    n_words.append(len(found))
+                    n_tokens.append(total)
+                yield pa.record_batch(
+                    [*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())],
+                    [*batch.schema.names, words, tokens],
+                )
+        finally:
+            gc.enable()
 
     return docs.mapInArrow(run, with_fields(docs.schema, **{words: "long", tokens: "long"}))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import tiktoken
@@ -72,3 +73,9 @@ class ByteBpe:
             table[i] = piece.endswith(tuple(written.values()))
         table[list(more)] = True
         return table
+
+
+@lru_cache(maxsize=2)
+def byte_bpe(path: str) -> ByteBpe:
+    """One encoder per worker and vocabulary, so that the tasks of a worker share what it remembers."""
+    return ByteBpe(path)
