@@ -70,7 +70,7 @@ def result_cell(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, (T.BooleanType, T.IntegralType, T.DoubleType, T.FloatType)):
         return column
     if isinstance(data_type, T.BinaryType):
-        text = F.decode(column, "UTF-8")
+        text = F.make_valid_utf8(column.cast("string"))
     else:
         text = column.cast("string")
     return F.when(
@@ -83,7 +83,7 @@ def comparable_cell(column: Column, data_type: T.DataType, digits: int = 6) -> C
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
         return F.round(column, digits).cast(f"decimal(38,{digits})").cast("string")
     if isinstance(data_type, T.BinaryType):
-        return F.decode(column, "UTF-8")
+        return F.make_valid_utf8(column.cast("string"))
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
     return column.cast("string")

@@ -249,7 +249,7 @@ def named_value_counts(documents: DataFrame, names: list[str]) -> DataFrame:
 
 
 def ingest_summary(columns: DataFrame, row_counts: DataFrame, links: DataFrame, row_cap: int) -> DataFrame:
-    """Per table: original name, number of columns, rows, relationships and warnings."""
+    """Per table: original name, columns, rows (all of them), relationships, a warning above ``row_cap``."""
     shape = columns.groupBy("database", "table", "original_table").agg(F.count(F.lit(1)).alias("columns"))
     target = F.concat("column", F.lit(" -> "), "ref_table", F.lit("."), "ref_column")
     related = links.groupBy("database", "table").agg(F.array_sort(F.collect_list(target)).alias("relationships"))
@@ -262,10 +262,10 @@ def ingest_summary(columns: DataFrame, row_counts: DataFrame, links: DataFrame,
             "table",
             "original_table",
             "columns",
-            F.least("rows", F.lit(row_cap)).alias("rows"),
+            "rows",
             F.coalesce("relationships", F.array().cast("array<string>")).alias("relationships"),
             F.when(
-                over, F.format_string(f"Table '%s' was truncated to the first {row_cap:,} rows.", "original_table")
+                over, F.format_string(f"Table '%s' has more than {row_cap:,} rows.", "original_table")
             ).alias("warning"),
         )
     )

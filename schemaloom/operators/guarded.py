@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from dataclasses import dataclass
@@ -9,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from schemaloom.functions.rules import keyword_view
 from schemaloom.functions.values import result_cell
 from schemaloom.operators.audit import judge_statements
 from schemaloom.runtime import small_frame
@@ -19,6 +21,24 @@ MAX_KEY_CHARS = 200
 PAGE_ROWS = 20
 
 
+# Names that may stand before a bracket: functions that read nothing but their arguments, types, keywords.
+ALLOWED_CALLS = frozenset(
+    """
+    abs avg cast ceil ceiling char_length coalesce concat concat_ws count date date_add date_format date_sub
+    datediff day dayofmonth dayofweek dense_rank exp extract first_value floor greatest hour if ifnull instr lag
+    last_value lead least left length ln locate log lower lpad ltrim max min minute mod month ntile nullif nvl
+    power quarter rank replace reverse right round row_number rpad rtrim second sign sqrt stddev substr substring
+    sum to_date trim truncate try_cast upper variance year
+    decimal numeric varchar
+    all and any as between by case distinct else except exists from having in inner intersect interval is join
+    like not on or order over partition select some then union using values when where with
+    """.split()
+)
+CALL = r"([A-Za-z_][A-Za-z0-9_]*|`)\s*\("
+# Files named as tables, context words that need no bracket, comments that hide a bracket.
+SPARK_ONLY = r"(?i)\b(?:avro|binaryfile|csv|delta|json|orc|parquet|text|xml)\s*\.\s*`|\bcurrent_(?:user|schema|database|catalog)\b|\bsession_user\b|/\*|--"
+
+
 class Refused(ValueError):
     """The statement did not pass the rules."""
 
@@ -34,6 +54,19 @@ def check_statement(spark: SparkSession, sql: str, database: str) -> None:
     verdict = judge_statements(small_frame(spark, [(sql, database)], "sql string, database string")).first()
     if not verdict["allowed"]:
         raise Refused(f"{verdict['category']}: {verdict['reason']}")
+    _check_calls(spark, sql)
+
+
+def _check_calls(spark: SparkSession, sql: str) -> None:
+    """The rules know the functions of a database server; the statement runs on Spark, which has more."""
+    view = keyword_view(F.col("sql"))
+    calls = F.transform(F.regexp_extract_all(view, F.lit(CALL), F.lit(1)), F.lower)
+    found = small_frame(spark, [(sql,)], "sql string").select(calls.alias("calls"), view.alias("view")).first()
+    refused = sorted(set(found["calls"]) - ALLOWED_CALLS)
+    if refused:
+        raise Refused(f"function_not_allowed: {', '.join(refused)}")
+    if re.search(SPARK_ONLY, found["view"]):
+        raise Refused("function_not_allowed: files, session facts and comments are refused")
 
 
 def guarded_select(spark: SparkSession, sql: str, database: str) -> DataFrame:
@@ -70,8 +103,8 @@ def run_capped(
     return Result(frame.columns, fetched[:max_rows], len(fetched) > max_rows)
 
 
-def shown_rows(frame: DataFrame, max_rows: int | None = MAX_ROWS) -> DataFrame:
-    """Result as it is shown: short keys, bounded cells, at most ``max_rows`` rows."""
+def shown_rows(frame: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Result as it is shown: short keys, bounded cells; all rows, or at most ``max_rows``."""
     cells = [
         result_cell(F.col(f"`{f.name}`"), f.dataType).alias(f.name[:MAX_KEY_CHARS]) for f in frame.schema.fields
     ]
@@ -89,13 +122,13 @@ def page(frame: DataFrame, number: int, order: list, per_page: int = PAGE_ROWS)
     return head.withColumn("__rn", rn).filter(F.col("__rn") > number * per_page).drop("__rn")
 
 
-def result_json(frame: DataFrame, query: str, order: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
-    """(query, json): the capped rows of each query as one JSON text."""
+def result_json(frame: DataFrame, query: str, order: list[str], max_rows: int | None = None) -> DataFrame:
+    """(query, json): the rows of each query, or the first ``max_rows``, as one JSON text."""
     values = [c for c in frame.columns if c != query and c not in order] + order
     numbered = frame.withColumn("__rn", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
     rows = F.array_sort(F.collect_list(F.struct("__rn", F.struct(*values).alias("row"))))
     return (
-        numbered.filter(F.col("__rn") <= max_rows)
+        (numbered if max_rows is None else numbered.filter(F.col("__rn") <= max_rows))
         .groupBy(query)
         .agg(F.to_json(F.transform(rows, lambda r: r["row"])).alias("json"))
     )

@@ -146,6 +146,7 @@ def _token_features(documents: DataFrame, tokens: Column, **points: int) -> Data
 
 
 def _features(parts: list[DataFrame], names: list[str]) -> DataFrame:
+    kinds = {f.name: f.dataType for part in parts for f in part.schema if f.name in names}
     shaped = []
     for part in parts:
         is_phrase = "phrase" in part.columns
@@ -156,7 +157,7 @@ def _features(parts: list[DataFrame], names: list[str]) -> DataFrame:
                 if is_phrase
                 else F.concat(F.lit(TOKEN_MARK), "key").alias("key"),
                 F.col("phrase") if is_phrase else F.lit(None).cast("string").alias("phrase"),
-                *[F.col(n) if n in part.columns else F.lit(None).cast("int").alias(n) for n in names],
+                *[F.col(n) if n in part.columns else F.lit(None).cast(kinds[n]).alias(n) for n in names],
             )
         )
     return union_all(shaped)
@@ -253,17 +254,17 @@ def router_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
     tables = documents.select("d_id", F.explode(table_names(text)).alias("name")).select(
         "d_id",
         F.explode(words_wide(F.col("name"))).alias("key"),
-        F.hash(F.lower("name")).alias("table_code"),
+        F.lower("name").alias("table_name"),
     )
     features = _features(
         [_token_features(documents, schema_terms_left(text), terms=1), value_tokens, phrases, tables],
-        ["terms", "values", "table_code"],
+        ["terms", "values", "table_name"],
     )
     related = F.arrays_overlap(words_wide(text), F.array(*[F.lit(w) for w in RELATION_WORDS]))
     keys = _question_keys(questions, words_wide, related=related)
     total = {n: F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in ("terms", "values")}
     # A database names at most a few hundred tables, so the set per pair stays small.
-    table_count = F.least(F.size(F.collect_set("table_code")), F.lit(3)).cast("bigint")
+    table_count = F.least(F.size(F.collect_set("table_name")), F.lit(3)).cast("bigint")
     return (
         match_features(keys, features)
         .groupBy("q_id", "d_id")
@@ -284,7 +285,7 @@ def router_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
 
 def question_phrases(text: Column) -> Column:
     """Maximal runs of two or more words made of letters only, of five characters or more."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]+(?:\s+[a-z]+)+)"), F.lit(1))
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]++(?:\s++[a-z]++)++)"), F.lit(1))
     return F.filter(F.transform(runs, strip), lambda p: F.length(p) >= 5)
 
 

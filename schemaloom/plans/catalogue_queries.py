@@ -438,9 +438,9 @@ def allow_list(spark, sf_dir):
              order by col || ' -> ' || ref_tab || '.' || ref_col) as r from links_ group by 1, 2)""",
     )
     + f""" select database, tab as "table", any_value(original_table) as original_table, count(*) as "columns",
-      least(any_value(n), 500000) as "rows", coalesce(any_value(r), '') as relationships,
+      any_value(n) as "rows", coalesce(any_value(r), '') as relationships,
       case when any_value(n) > 500000 then 'Table ''' || any_value(original_table) ||
-        ''' was truncated to the first 500,000 rows.' end as warning
+        ''' has more than 500,000 rows.' end as warning
       from columns_ join counts_ using (database, tab) left join rel_ using (database, tab) group by database, tab""",
 )
 def ingest_summary(spark, sf_dir):
