@@ -26,8 +26,8 @@ GRAM = 20
 CHUNK = 1 << 22
 #: A stretch is cut after so many windows; its parts keep the anchor.
 STRETCH = 256
-#: Bytes of stretches that make a shard; a single anchor may have more.
-SHARD = 1 << 23
+#: Bytes of stretches that make a shard, so few that its arrays stay near the processor; a single anchor may have more.
+SHARD = 1 << 21
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
