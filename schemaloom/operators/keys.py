@@ -133,19 +133,31 @@ def link_candidates(
                 if kind == ref_kind or (_numeric(kind) and _numeric(ref_kind)):
                     found.append((child, f.name, parent, ref_column))
     position = {id(t): n for n, t in enumerate(tables)}
-    found.sort(key=lambda c: (position[id(c[0])], c[1], position[id(c[2])]))
+    found.sort(key=lambda c: (position[id(c[0])], c[1], position[id(c[2])], c[2].frame.columns.index(c[3])))
     return [Candidate(*c, order=n) for n, c in enumerate(found)]
 
 
-def _comparable(table: Table, column: str, as_double: bool) -> DataFrame:
+def _comparable(table: Table, column: str, kind: str) -> DataFrame:
+    """Values as text of the type in which both columns of a candidate are compared."""
     value = F.col(f"`{column}`")
-    value = (value.cast("double") if as_double else value).cast("string")
+    if kind == "number":
+        # Exact for whole numbers; what does not fit is compared as its own text.
+        value = F.coalesce(value.try_cast("decimal(38,18)").cast("string"), value.cast("string"))
+    elif kind == "time":
+        value = value.cast("timestamp_ntz").cast("string")
+    else:
+        value = value.cast("string")
     return table.frame.select(value.alias("value")).filter("value is not null")
 
 
-def _mixed_numbers(c: Candidate) -> bool:
-    kinds = {base_type(c.child.frame.schema[c.column].dataType), base_type(c.parent.frame.schema[c.ref_column].dataType)}
-    return kinds == {"INTEGER", "REAL"}
+def _comparison(c: Candidate) -> str:
+    types = c.child.frame.schema[c.column].dataType, c.parent.frame.schema[c.ref_column].dataType
+    kinds = {base_type(t) for t in types}
+    if types[0] == types[1] or kinds == {"INTEGER"}:
+        return "text"
+    if kinds <= {"INTEGER", "REAL"}:
+        return "number"
+    return "time" if kinds == {"DATETIME"} else "text"
 
 
 def inclusion(candidates: list[Candidate]) -> DataFrame:
@@ -157,9 +169,9 @@ def inclusion(candidates: list[Candidate]) -> DataFrame:
     children: dict[tuple, list[Candidate]] = {}
     parents: dict[tuple, list[Candidate]] = {}
     for c in candidates:
-        mixed = _mixed_numbers(c)
-        children.setdefault((c.child.database, c.child.name, c.column, mixed), []).append(c)
-        parents.setdefault((c.parent.database, c.parent.name, c.ref_column, mixed), []).append(c)
+        kind = _comparison(c)
+        children.setdefault((c.child.database, c.child.name, c.column, kind), []).append(c)
+        parents.setdefault((c.parent.database, c.parent.name, c.ref_column, kind), []).append(c)
 
     def pair_numbers(groups: dict[tuple, list[Candidate]]) -> Column:
         """Candidates of the column numbered ``col_no``; a list known before the scan."""
@@ -168,15 +180,15 @@ def inclusion(candidates: list[Candidate]) -> DataFrame:
 
     child = union_all(
         [
-            _comparable(group[0].child, column, mixed).withColumn("col_no", F.lit(n))
-            for n, ((_, _, column, mixed), group) in enumerate(children.items())
+            _comparable(group[0].child, column, kind).withColumn("col_no", F.lit(n))
+            for n, ((_, _, column, kind), group) in enumerate(children.items())
         ]
     )
     child = child.groupBy("col_no", "value").agg(F.count(F.lit(1)).alias("n"))
     parent = union_all(
         [
-            _comparable(group[0].parent, column, mixed).withColumn("col_no", F.lit(n))
-            for n, ((_, _, column, mixed), group) in enumerate(parents.items())
+            _comparable(group[0].parent, column, kind).withColumn("col_no", F.lit(n))
+            for n, ((_, _, column, kind), group) in enumerate(parents.items())
         ]
     )
     child = child.select(pair_numbers(children), "value", "n")

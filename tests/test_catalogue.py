@@ -78,6 +78,30 @@ def test_links_of_mixed_numbers_and_all_null_children(spark):
     assert links == {"parent_id": "parents"}
 
 
+def test_links_of_decimals_dates_and_long_ids(spark):
+    big = 1234567890123456788
+    tables = []
+    for name, kind, values, child_kind, child_values in [
+        ("prices", "decimal(10,2)", ["1.50", "2.00"], "double", ["1.5", "2.0", "2.0"]),
+        ("days", "date", ["2024-01-01", "2024-01-02"], "timestamp", ["2024-01-01 00:00:00", "2024-01-02 00:00:00"]),
+        ("longs", "bigint", [str(big), str(big + 1)], "decimal(20,0)", [str(big + 2), str(big + 3)]),
+    ]:
+        stem = name[:-1]
+        parent = spark.createDataFrame([(v,) for v in values], "id string").selectExpr(f"cast(id as {kind}) as id")
+        child = spark.createDataFrame([(v,) for v in child_values], "x string")
+        child = child.selectExpr(f"cast(x as {child_kind}) as {stem}_id")
+        tables += [Table("d", name, parent), Table("d", f"of_{name}", child)]
+    links = {r["table"]: r["ref_table"] for r in keys.infer_links(tables).collect()}
+    assert links == {"of_prices": "prices", "of_days": "days"}
+
+
+def test_ties_go_to_the_parents_first_column(spark):
+    parent = spark.createDataFrame([(1, 1), (2, 2)], "id bigint, order_id bigint")
+    child = spark.createDataFrame([(1,), (2,), (2,)], "order_id bigint")
+    links = keys.infer_links([Table("d", "orders", parent), Table("d", "lines", child)])
+    assert [r["ref_column"] for r in links.filter("table = 'lines'").collect()] == ["id"]
+
+
 def test_best_link_wins_and_ties_go_to_the_first(spark):
     one = spark.createDataFrame([(n,) for n in range(10)], "x_code bigint")
     two = spark.createDataFrame([(n,) for n in range(9)], "x_code bigint")
@@ -211,6 +235,10 @@ def test_uploads_and_content(spark, tmp_path):
     (tmp_path / "fake.csv").write_bytes(b"PK\x03\x04zip")
     (tmp_path / "fake.db").write_bytes(b"not a database at all")
     files = readers.list_files(spark, str(tmp_path))
+    unread = readers.list_files(spark, str(tmp_path), head_up_to=4).collect()
+    assert {r["file"].rsplit("/", 1)[1]: (r["bytes"], r["head"] is None) for r in unread} == {
+        "ok.csv": (4, False), "fake.csv": (7, True), "fake.db": (21, True)
+    }
     problems = {r["file"].rsplit("/", 1)[1]: r["problem"] for r in readers.content_problems(files).collect()}
     assert problems == {"fake.csv": "is not a text CSV file.", "fake.db": "is not a valid SQLite database file."}
     listing = spark.createDataFrame(
