@@ -540,9 +540,14 @@ def overlap_top_k(questions: DataFrame, documents: DataFrame, k: int, tokens: Ca
     return _in_slices(asked, run).withColumnRenamed("value", "score")
 
 
-def rerank(candidates: DataFrame, scores: DataFrame) -> DataFrame:
-    """Second stage: candidates ordered by lexical score, equal scores by vector rank."""
-    joined = candidates.join(scores.select("q_id", "d_id", "score"), ["q_id", "d_id"], "left")
+def rerank(candidates: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Second stage: candidates ordered by lexical score, equal scores by vector rank.
+
+    Without ``scores`` the candidates carry their ``score``; the first stage is then read once.
+    """
+    joined = candidates
+    if scores is not None:
+        joined = candidates.join(scores.select("q_id", "d_id", "score"), ["q_id", "d_id"], "left")
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), "rank")
     return joined.withColumn("score", F.coalesce("score", F.lit(0))).withColumn(
         "position", F.row_number().over(order)

@@ -365,8 +365,7 @@ def resume(spark, sf_dir):
     inputs, done = _inputs(spark, sf_dir), _done(spark, sf_dir)
     fresh = evaluation.resume(inputs, done).select("index", F.lit("fresh").alias("state"))
     merged = evaluation.merge_results(inputs, done, fresh)
-    # Position of each index among the inputs; ids are dense, so no global window is needed.
-    return merged.withColumn("position", F.col("index") + 1)
+    return evaluation.numbered(merged.withColumn("run", F.lit(0)), "run", ["index"]).drop("run")
 
 
 @query("e9_first_n", """select o_orderkey as "index", o_custkey from orders order by o_orderkey limit 100""")

@@ -17,6 +17,7 @@ from schemaloom.plans.inputs import (
     schema_index,
 )
 from schemaloom.plans.registered import query
+from schemaloom.runtime import materialise
 
 WIDE, NARROW = "?,.!''\"():;_-", "?,.!''\"():;"
 
@@ -431,8 +432,7 @@ def _candidates(spark, sf_dir):
       cast(row_number() over (partition by q_id order by score desc, rank) as int) as position from cand_""",
 )
 def two_stage(spark, sf_dir):
-    found = _candidates(spark, sf_dir)
-    return retrieval.rerank(found.drop("score", "source"), found).select("q_id", "d_id", "rank", "score", "position")
+    return retrieval.rerank(_candidates(spark, sf_dir)).select("q_id", "d_id", "rank", "score", "position")
 
 
 @query(
@@ -445,7 +445,7 @@ def two_stage(spark, sf_dir):
         score + coalesce([12, 9, 7, 5, 3, 2][hit], 0) as score from s left join hit using (q_id, source)""",
 )
 def rank_bonus(spark, sf_dir):
-    found = _candidates(spark, sf_dir)
+    found = materialise(_candidates(spark, sf_dir))
     scored = found.groupBy("q_id", F.col("source").alias("table")).agg(F.max("score").alias("score"))
     hits = found.select("q_id", F.col("source").alias("table"), "rank")
     return retrieval.rank_bonus(scored, hits).select("q_id", "table", "bonus", "score")
