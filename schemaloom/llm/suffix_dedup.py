@@ -22,8 +22,8 @@ from schemaloom.runtime import materialise
 
 LENGTH = 50
 GRAM = 20
-#: Bytes whose anchors are found at once.
-CHUNK = 1 << 22
+#: Bytes whose anchors are found at once; a longer text is taken whole.
+CHUNK = 1 << 17
 #: A stretch is cut after so many windows; its parts keep the anchor.
 STRETCH = 256
 #: Bytes of stretches that make a shard, so few that its arrays stay near the processor; a single anchor may have more.
