@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 WIDE_SEPARATORS = "?,.!'\"():;_-"
 NARROW_SEPARATORS = "?,.!'\"():;"
 
+# Characters that count as white space.
+WHITE_SPACE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space (that of Unicode) at both ends; linear in the text, whatever runs of it are inside."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def _punctuation_words(text: Column, separators: str) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from schemaloom.functions import rules, values
+from schemaloom.functions import rules, text, values
 from schemaloom.operators import guarded, retrieval
 from schemaloom.sources import readers
 
@@ -82,3 +82,9 @@ def test_nothing_is_cut_by_default(spark):
     assert readers.capped(frame, "t")[0].count() == guarded.shown_rows(frame).count() == 2_500
     kept, warning = readers.capped(frame, "t", 1_000)
     assert kept.count() == 1_000 and "truncated" in warning
+
+
+def test_strip_of_long_white_space(spark):
+    inner = "a" + " \u00a0" * 300_000 + "b"
+    frame = spark.createDataFrame([("\u2003\t " + inner + "\u00a0\r\n",), ("\u3000",), (None,)], "t string")
+    assert [r.s for r in frame.select(text.strip(F.col("t")).alias("s")).collect()] == [inner, "", None]
