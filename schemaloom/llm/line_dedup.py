@@ -15,7 +15,7 @@ MIN_PAGES = 3
 
 
 def line_key(line: Column) -> Column:
-    return hash128(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    return hash128(F.btrim(line, F.lit(" \t\n\x0b\f\r")))
 
 
 def lines_of(text: Column) -> Column:
