@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import decontamination, line_dedup, packing, simhash, toxicity
+from schemaloom.llm import decontamination, line_dedup, near_copies, packing, toxicity
 from schemaloom.llm.common import free_name, table
 from schemaloom.llm.queries import BYTE_BPE
 from schemaloom.runtime import materialise
@@ -26,8 +26,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return simhash.drop_near_copies(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,209 @@
+"""Near-copy removal by SimHash: wide fingerprints compared tile by tile, then the shingles of what they find."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from schemaloom.llm.common import connected_components, free_name, with_fields
+from schemaloom.runtime import materialise
+
+#: Words in a shingle. Near copies share four fifths of their distinct shingles (Jaccard).
+SHINGLE = 5
+#: Words of 64 bits in a fingerprint.
+LANES = 4
+#: Differing bits, of 256, up to which two texts are compared by their shingles. At a similarity of 0.8 39
+#: bits differ, give or take 6; up to 48 where texts have five shingles or fewer.
+RADIUS = 72
+#: About so many fingerprints, or so many shingles, make a tile; so many tiles of one kind go to one group.
+TILE = 4096
+TILE_SHINGLES = 1 << 20
+GROUP = 4
+ROWS = 64
+COUNTED = 1 << 14
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> tuple[str, np.ndarray]:
+    """A hash of the words of a text (A-Z lower-cased) and the sorted hashes of its distinct shingles.
+
+    A text with fewer words is one shingle of all of them; one without words has none.
+    """
+    words = (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    if not words:
+        return xxhash.xxh128_hexdigest(joined), np.empty(0, np.uint64)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    spans = zip([0, *ends], ends[min(size, len(words)) - 1 :])
+    hashes = np.array([xxhash.xxh64_intdigest(joined[a : b - 1]) for a, b in spans], np.uint64)
+    return xxhash.xxh128_hexdigest(joined), np.unique(hashes)
+
+
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """The SimHash of distinct shingles in LANES words: a bit is 1 if set in over half of the mixed hashes."""
+    ones = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(hashes), COUNTED):
+        x = hashes[at : at + COUNTED, None] + np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1)
+        for rest in range(0, len(bits), 255):
+            ones += np.add.reduce(bits[rest : rest + 255], axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
+
+
+def with_marks(docs: DataFrame, size: int = SHINGLE, whole: bool = False, names: tuple = ("copy", "n", "fp", "hashes")) -> DataFrame:
+    """``docs`` with the hash of the words of ``text``, the number of its distinct shingles and its fingerprint;
+    if ``whole``, also the hashes of the shingles, else an empty value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [shingles(t.as_py(), size) for t in batch["text"]]
+            columns = [
+                pa.array([copy for copy, _ in rows], pa.string()),
+                pa.array([len(h) for _, h in rows], pa.int32()),
+                pa.array([fingerprint(h) for _, h in rows], pa.binary()),
+                pa.array([h.tobytes() if whole else b"" for _, h in rows], pa.binary()),
+            ]
+            yield pa.record_batch([*batch.columns, *columns], [*batch.schema.names, *names])
+
+    return docs.mapInArrow(run, with_fields(docs.schema, **dict(zip(names, ["string", "int", "binary", "binary"]))))
+
+
+class Tile:
+    def __init__(self, rows: pa.StructArray):
+        copy, n, fp, hashes = rows.flatten()
+        self.copy = copy.to_pylist()
+        self.n = n.to_numpy().astype(np.int64)
+        self.fp = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(-1, LANES)
+        self.hashes = [np.frombuffer(x, np.uint64) for x in hashes.to_pylist()]
+
+
+def alike(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets have a similarity of at least 0.8 with ``own``; all sorted and distinct."""
+    n = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    common = np.add.reduceat((own[place] == every).astype(np.int64), np.concatenate([[0], n.cumsum()[:-1]]))
+    return 9 * common >= 4 * (len(own) + n)
+
+
+def forest(a: Tile, b: Tile, same: bool, exact: bool) -> list[tuple[str, str]]:
+    """Links that connect all texts between two tiles (or within one) that lie within the radius and, if
+    ``exact``, are near copies by their shingles.
+
+    Every pair is compared, in all bits; pairs that are already connected are not looked at again, so that
+    at most len(a) + len(b) links come back.
+    """
+    label = np.arange(len(a.n) if same else len(a.n) + len(b.n))
+    shift = 0 if same else len(a.n)
+    out = []
+    for at in range(0, len(a.n), ROWS):
+        to = min(at + ROWS, len(a.n))
+        apart = np.zeros((to - at, len(b.n)), np.uint16)
+        for lane in range(LANES):
+            apart += np.bitwise_count(a.fp[at:to, None, lane] ^ b.fp[None, :, lane])
+        hit = apart <= RADIUS
+        if same:
+            hit &= np.arange(len(b.n))[None, :] > np.arange(at, to)[:, None]
+        if not hit.any():
+            continue
+        n, m = a.n[at:to, None], b.n[None, :]
+        hit &= (5 * n >= 4 * m) & (5 * m >= 4 * n)
+        for row in np.flatnonzero(hit.any(axis=1)).tolist():
+            i = at + row
+            found = np.flatnonzero(hit[row] & (label[shift:] != label[i]))
+            if exact and len(found):
+                found = found[alike(a.hashes[i], [b.hashes[j] for j in found.tolist()])]
+            groups, first = np.unique(label[shift + found], return_index=True)
+            out += [(a.copy[i], b.copy[j]) for j in found[first].tolist()]
+            label[np.isin(label, groups)] = label[i]
+    return out
+
+
+def links(texts: DataFrame, exact: bool, tile: int = TILE) -> DataFrame:
+    """(u, v): links that connect the texts of ``texts(copy, n, fp, hashes)``, each once, that ``forest`` finds.
+
+    Tiles hold texts of one class of shingle counts and one band of population counts. Sets that share
+    four fifths have counts in a ratio of at most 5 to 4, so only tiles of the same or the next class are
+    compared, and of those only the ones whose population counts can lie within the radius. A class is
+    split into tiles by hash, and its tile pairs into groups, so that a hot class is worked off by many
+    tasks. What is broadcast has one row per class and band (fewer than 1,000).
+    """
+    words = [F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(LANES)]
+    kinds = texts.where("n > 0").withColumn("c", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    kinds = kinds.withColumn("b", F.floor(sum(F.bit_count(w) for w in words) / RADIUS).cast("int"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum(F.octet_length("hashes")) / (8 * TILE_SHINGLES)))
+    sizes = materialise(kinds.groupBy("c", "b").agg(parts.cast("int").alias("parts")))
+    tiles = kinds.join(F.broadcast(sizes), ["c", "b"]).withColumn("p", F.pmod(F.xxhash64("copy"), "parts").cast("int"))
+    tiles = tiles.groupBy("c", "b", "p").agg(F.collect_list(F.struct("copy", "n", "fp", "hashes")).alias("rows"))
+    tiles = materialise(tiles)
+
+    left = tiles.select("c", "b", F.expr(f"p div {GROUP}").alias("g"), "p", F.col("rows").alias("left"))
+    steps = [F.struct(F.lit(c).alias("c"), F.lit(b).alias("b")) for c, b in [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]]
+    right = tiles.withColumn("d", F.explode(F.array(*steps))).select(
+        (F.col("c") - F.col("d.c")).alias("c"),
+        (F.col("b") - F.col("d.b")).alias("b"),
+        F.expr("d.c = 0 and d.b = 0").alias("same"),
+        F.col("p").alias("q"),
+        F.col("rows").alias("right"),
+    )
+    last = F.when(F.col("same"), F.col("q")).otherwise(F.col("parts") - 1)
+    turns = F.sequence(F.lit(0).cast("long"), F.floor(last / GROUP))
+    right = right.join(F.broadcast(sizes), ["c", "b"]).withColumn("g", F.explode(turns)).drop("parts")
+    pairs = left.join(right, ["c", "b", "g"]).where("not same or p <= q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, same in enumerate(batch["same"].to_pylist()):
+                if found := forest(Tile(batch["left"][i].values), Tile(batch["right"][i].values), same, exact):
+                    yield pa.record_batch([pa.array(x, pa.string()) for x in zip(*found)], ["u", "v"])
+
+    one = pairs.select("left", "right", F.expr("same and p = q").alias("same"))
+    return one.mapInArrow(run, "u string, v string")
+
+
+def groups(docs: DataFrame, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
+    """(copy, first_id, kept_copy) of each distinct text of ``docs(doc_id, text)``: the smallest doc_id of its
+    group of near copies, null if all are null, and the smallest text hash of the group.
+
+    Fingerprints alone go into the first search. Only texts that have another one within the radius come
+    with their shingles into the second, which checks each link.
+    """
+    key = F.xxhash64("text").alias("text_key")
+    marked = with_marks(docs.select("doc_id", "text", key), size).drop("text")
+    firsts = [F.first(c).alias(c) for c in ("n", "fp", "hashes", "text_key")]
+    one = materialise(marked.groupBy("copy").agg(F.min("doc_id").alias("low"), *firsts))
+    found = links(one, False, tile)
+    close = materialise(found.select(F.explode(F.array("u", "v")).alias("copy")).distinct())
+    keys = materialise(one.join(close, "copy", "left_semi").select("text_key").distinct())
+    texts = with_marks(docs.select("text", key).join(keys, "text_key", "left_semi").select("text"), size, whole=True)
+    texts = texts.groupBy("copy").agg(*[F.first(c).alias(c) for c in ("n", "fp", "hashes")])
+    found = connected_components(links(texts, True, tile)).withColumnRenamed("node", "copy")
+    named = one.select("copy", "low").join(found, "copy", "left")
+    named = materialise(named.select("copy", "low", F.coalesce("label", "copy").alias("kept_copy")))
+    lowest = named.groupBy("kept_copy").agg(F.min("low").alias("first_id"))
+    return named.join(lowest, "kept_copy").select("copy", "first_id", "kept_copy")
+
+
+def drop_near_copies(docs: DataFrame, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
+    """One row of ``docs`` of each group of near copies: that with the smallest doc_id, all columns as they are.
+
+    A group is what links of a similarity of at least 0.8 connect. Texts of the same words are copies; null
+    and empty texts and those of white space are copies of each other. Of repeated rows one stays; a group
+    whose ids are all null keeps one row. No rows in, no rows out.
+    """
+    found = materialise(groups(docs, size, tile))
+    key, single = free_name(docs, "kept_id"), free_name(docs, "single_copy")
+    kept = found.where("first_id is not null").select(F.col("first_id").alias(key)).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
+    names = tuple(free_name(docs, f"{n}_of_text") for n in ("copy", "n", "fp", "hashes"))
+    nameless = found.where("first_id is null and copy = kept_copy").select(F.col("copy").alias(single))
+    others = with_marks(docs.where("doc_id is null"), size, names=names)
+    others = others.join(nameless, F.col(names[0]) == F.col(single), "left_semi").dropDuplicates([names[0]])
+    return named.unionByName(others.drop(*names))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.llm.common import connected_components, free_name, with_fields
+from schemaloom.llm.common import connected_components, with_fields
 from schemaloom.runtime import materialise
 
 SHINGLE = 3
@@ -161,20 +161,3 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, t
     lowest = lowest.groupBy("label").agg(F.min("low").alias("component_id"))
     named = materialise(labels.join(lowest, "label").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row of ``docs`` of each component: that with the smallest doc_id, all columns as they are.
-
-    Of repeated rows with that id one stays. A component whose ids are all null keeps each distinct text.
-    """
-    groups = near_groups(docs, shingle, radius, tile)
-    kept = groups.where("doc_id = component_id").select(F.col("component_id").alias("kept_id")).distinct()
-    name = free_name(docs, "kept_id")
-    named = docs.join(kept.withColumnRenamed("kept_id", name), F.col("doc_id") == F.col(name), "left_semi")
-    without = groups.where("component_id is null").select("fp").distinct()
-    fp = free_name(docs, "fp")
-    nameless = fingerprints(docs.where("doc_id is null"), fp, shingle).join(
-        without.withColumnRenamed("fp", f"{fp}_kept"), F.col(fp) == F.col(f"{fp}_kept"), "left_semi"
-    )
-    return named.dropDuplicates(["doc_id"]).unionByName(nameless.drop(fp).dropDuplicates(["text"]))

@@ -21,6 +21,7 @@ from schemaloom.llm import (
     decontamination,
     line_dedup,
     lm_scoring,
+    near_copies,
     packing,
     quality_rules,
     simhash,
@@ -138,13 +139,59 @@ def test_components_of_chains_and_stars(spark):
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
 
 
-def test_one_of_each_group_stays(odd):
-    kept = simhash.drop_near_copies(odd)
+def five_word_sets(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+
+
+def brute_near_groups(rows):
+    sets = [five_word_sets(r[1]) for r in rows]
+    near = [
+        (i, j)
+        for i, j in combinations(range(len(sets)), 2)
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    ]
+    return brute_components([r[0] for r in rows], near)
+
+
+@pytest.mark.parametrize("tile", [2, 4096])
+def test_one_of_each_group_stays(odd, odd_rows, tile):
+    kept = near_copies.drop_near_copies(odd, tile=tile)
     assert kept.columns == odd.columns
-    groups = simhash.near_groups(odd)
-    named = groups.where("component_id is not null").select("component_id").distinct().count()
-    assert kept.where("doc_id is not null").count() == named
-    assert kept.where("doc_id in (51, 52, 53)").count() == 0
+    expected = {x for x in brute_near_groups(odd_rows) if x is not None}
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(expected)
+    assert {70, 3} <= expected and not {51, 71, 72} & expected
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_near_copies_of_every_length(spark, tile, monkeypatch):
+    monkeypatch.setattr(near_copies, "TILE_SHINGLES", 700 if tile == 3 else 1 << 20)
+    rng = random.Random(11)
+    rows = []
+    for n in [1, 2, 4, 5, 6, 7, 8, 9, 10, 12, 14, 20, 30, 50, 70, 100, 300, 900] * 3:
+        base = [f"w{rng.randrange(10**5)}" for _ in range(n)]
+        texts = [base, base[1:], base[:-1], base + ["more"], base + ["X", "y"], edited(rng, base, 1), edited(rng, base, max(n // 40, 1))]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    chain = [f"c{i}" for i in range(400)]
+    rows += [(len(rows) + i, " ".join(chain[20 * i : 20 * i + 200])) for i in range(10)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in near_copies.drop_near_copies(docs, tile=tile).collect())
+    assert kept == sorted(set(brute_near_groups(rows)))
+
+
+def test_near_copies_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text + " end"), (None, text.upper()), (None, None), (None, ""), (5, "other words")]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.text or "")[:5].lower() for r in kept) == ["", "other", "w0 w1"]
 
 
 # 3 url filters
@@ -556,7 +603,7 @@ def test_empty_tables(spark, none):
     frames = [
         quality_rules.judge(none),
         simhash.near_groups(none),
-        simhash.drop_near_copies(none),
+        near_copies.drop_near_copies(none),
         url_filters.judge_urls(pages),
         toxicity.judge(none, labels),
         line_dedup.drop_boilerplate(none),
