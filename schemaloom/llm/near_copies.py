@@ -23,9 +23,13 @@ LANES = 4
 RADIUS = 72
 #: About so many fingerprints, or so many shingles, make a tile; so many tiles of one kind go to one group.
 TILE = 4096
-TILE_SHINGLES = 1 << 20
-GROUP = 4
+TILE_SHINGLES = 1 << 17
+GROUP = 8
+#: Tile pairs that come to Python at once, and texts that leave it at once.
+PAIRS = 4
+TEXTS = 256
 ROWS = 64
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 COUNTED = 1 << 14
 
 
@@ -60,17 +64,19 @@ def fingerprint(hashes: np.ndarray) -> bytes:
 def with_marks(docs: DataFrame, size: int = SHINGLE, whole: bool = False, names: tuple = ("copy", "n", "fp", "hashes")) -> DataFrame:
     """``docs`` with the hash of the words of ``text``, the number of its distinct shingles and its fingerprint;
     if ``whole``, also the hashes of the shingles, else an empty value."""
+    kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
+
+    def marks(text: str | None) -> tuple[str, int, bytes, bytes]:
+        copy, hashes = shingles(text, size)
+        return copy, len(hashes), fingerprint(hashes), hashes.tobytes() if whole else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [shingles(t.as_py(), size) for t in batch["text"]]
-            columns = [
-                pa.array([copy for copy, _ in rows], pa.string()),
-                pa.array([len(h) for _, h in rows], pa.int32()),
-                pa.array([fingerprint(h) for _, h in rows], pa.binary()),
-                pa.array([h.tobytes() if whole else b"" for _, h in rows], pa.binary()),
-            ]
-            yield pa.record_batch([*batch.columns, *columns], [*batch.schema.names, *names])
+        for many in batches:
+            for at in range(0, many.num_rows, TEXTS):
+                batch = many.slice(at, TEXTS)
+                rows = [marks(t.as_py()) for t in batch["text"]]
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
+                yield pa.record_batch([*batch.columns, *columns], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, with_fields(docs.schema, **dict(zip(names, ["string", "int", "binary", "binary"]))))
 
@@ -133,7 +139,7 @@ def links(texts: DataFrame, exact: bool, tile: int = TILE) -> DataFrame:
     four fifths have counts in a ratio of at most 5 to 4, so only tiles of the same or the next class are
     compared, and of those only the ones whose population counts can lie within the radius. A class is
     split into tiles by hash, and its tile pairs into groups, so that a hot class is worked off by many
-    tasks. What is broadcast has one row per class and band (fewer than 1,000).
+    tasks. What is broadcast has one row per class and band (fewer than 1,000). The links are written.
     """
     words = [F.conv(F.hex(F.substring("fp", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(LANES)]
     kinds = texts.where("n > 0").withColumn("c", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
@@ -165,7 +171,13 @@ def links(texts: DataFrame, exact: bool, tile: int = TILE) -> DataFrame:
                     yield pa.record_batch([pa.array(x, pa.string()) for x in zip(*found)], ["u", "v"])
 
     one = pairs.select("left", "right", F.expr("same and p = q").alias("same"))
-    return one.mapInArrow(run, "u string, v string")
+    spark = texts.sparkSession
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, PAIRS)
+    try:
+        return materialise(one.mapInArrow(run, "u string, v string"))
+    finally:
+        spark.conf.set(BATCH, before)
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
