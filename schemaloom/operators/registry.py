@@ -88,6 +88,11 @@ def clean_names(names: DataFrame) -> DataFrame:
     )
 
 
+def listed_names(lines: DataFrame) -> DataFrame:
+    """(database): clean names of ``lines(value)``, one a line; what follows a ``#`` is a comment."""
+    return clean_names(lines.select(F.regexp_replace("value", "(?s)#.*", "").alias("database")))
+
+
 def allow_list(sources: DataFrame) -> DataFrame:
     """Names of the first source (by ``priority``) that yields any; none gives no names."""
     clean = clean_names(sources.select("priority", "database"))

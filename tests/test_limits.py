@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from schemaloom.functions import rules, text, values
-from schemaloom.operators import guarded, retrieval
+from schemaloom.operators import guarded, registry, retrieval
 from schemaloom.sources import readers
 
 
@@ -88,3 +88,9 @@ def test_strip_of_long_white_space(spark):
     inner = "a" + " \u00a0" * 300_000 + "b"
     frame = spark.createDataFrame([("\u2003\t " + inner + "\u00a0\r\n",), ("\u3000",), (None,)], "t string")
     assert [r.s for r in frame.select(text.strip(F.col("t")).alias("s")).collect()] == [inner, "", None]
+
+
+def test_comments_in_allow_list(spark):
+    lines = ["shop  # the main one", "# nothing here", "", None, "`Bank`", "mysql # system", "two words", "shop"]
+    found = registry.listed_names(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert sorted(r.database for r in found.collect()) == ["bank", "shop"]
