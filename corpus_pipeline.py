@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a large part of a site's pages share go; n_chars, if there, is that of the new text."""
-    cut = line_dedup.drop_boilerplate(docs).select(*docs.columns)
+    """Lines that many of a site's pages share go; n_chars, if there, is that of the new text."""
+    cut = line_dedup.drop_boilerplate(docs, line_dedup.MAX_RATIO, line_dedup.MIN_PAGES).select(*docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from schemaloom.llm.common import WORD, free_name, hash128
 from schemaloom.runtime import materialise
 
-#: A line goes when more than this share of its site's pages has it ...
-MAX_RATIO = 0.2
-#: ... and at least so many pages.
-MIN_PAGES = 3
+#: In the documents table (query, SQL and pipeline) a line goes when more than this share of its site's pages
+#: has it. A site mixes languages, so a header of a fifth of one language's pages stands on 1 to 5 % of the site's.
+MAX_RATIO = 0.01
+#: ... and at least so many pages, so that the few near copies of a page do not make its lines boilerplate.
+MIN_PAGES = 5
+#: What a caller gets who names no ratio: only lines that a site of a dozen pages shows without doubt.
+CAUTIOUS_RATIO, CAUTIOUS_PAGES = 0.2, 3
 
 
 def line_key(line: Column) -> Column:
@@ -22,7 +25,7 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, max_ratio: float = CAUTIOUS_RATIO, min_pages: int = CAUTIOUS_PAGES) -> DataFrame:
     """(host, keys): the line keys that count as boilerplate on each host of ``docs(text, source)``.
 
     A page is a distinct text of a host, so copies of one page count once and cannot make their own
@@ -41,7 +44,7 @@ def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     return materialise(common.groupBy("host").agg(F.collect_list("key").alias("keys")))
 
 
-def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, max_ratio: float = CAUTIOUS_RATIO, min_pages: int = CAUTIOUS_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; all rows and columns stay.
 
     Adds n_lines and n_dropped (with underscores in front if ``docs`` has such columns). Lines without

@@ -62,7 +62,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    cut = line_dedup.drop_boilerplate(docs, line_dedup.MAX_RATIO, line_dedup.MIN_PAGES)
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from schemaloom.llm import (
     decontamination,
     line_dedup,
@@ -31,7 +33,7 @@ from schemaloom.llm import (
     url_filters,
 )
 from schemaloom.llm.common import connected_components
-from schemaloom.llm.queries import BYTE_BPE, PIECES
+from schemaloom.llm.queries import BYTE_BPE, PIECES, QUERIES
 from schemaloom.llm.tokens import ByteBpe
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -351,6 +353,17 @@ def test_copies_do_not_make_boilerplate(spark):
     assert found.where("n_dropped > 0").count() == 0
 
 
+def test_boilerplate_of_the_documents_table(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("test tables are not there")
+    found = QUERIES["op5_line_dedup"](spark, sf_dir).agg(F.sum("n_dropped"), F.count_if(F.col("n_dropped") > 0)).first()
+    assert tuple(found) == (5112, 2995)  # lines and documents that brute force counts
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cut = corpus_pipeline.drop_boilerplate_lines(spark, docs, sf_dir)
+    assert docs.agg(F.sum("n_chars")).first()[0] > cut.agg(F.sum("n_chars")).first()[0]
+
+
 # 6 packing
 
 
