@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.runtime import broadcast_if_small, materialise
 
-#: Words that the two models share; all others are one unknown word. Bounds what tasks are sent.
-VOCABULARY = 1 << 14
 #: Weight, in tokens, of the unigram model where a bigram model is asked.
 SMOOTHING = 2.0
 #: Words that a task counts before it hands the counts on.
 COUNTED = 400_000
+#: Words of documents whose pairs a task sorts at once; a longer document is taken whole.
+BLOCK = 1 << 22
+#: Documents in one row of a pair; a pair with more has more rows.
+LISTED = 1 << 12
+#: Pairs are worked off in so many parts by their hash, each with all its counts, to need less disk at once.
+PARTS = 3
 #: Target ids (8 bytes each) up to which they are broadcast.
 BROADCAST_IDS = 1_000_000
+#: Stands before a document's first word; no word has a space.
+START = np.uint64(xxhash.xxh64_intdigest(b" "))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -27,18 +34,19 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_counts(marked: DataFrame) -> DataFrame:
-    """(word, n, n_target): words of all documents and of the target's, summed per task before the shuffle."""
+    """(key, word, n, n_target): words, with their hash, of all documents and of the target's, summed per task
+    before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
 
         def rows() -> pa.RecordBatch:
             every, target = counts
-            columns = [pa.array(list(every), pa.binary()), pa.array(list(every.values()), pa.int64())]
-            columns.append(pa.array([target[w] for w in every], pa.int64()))
+            columns = [pa.array(hashes(every).view(np.int64)), pa.array(list(every), pa.binary())]
+            columns += [pa.array(list(every.values()), pa.int64()), pa.array([target[w] for w in every], pa.int64())]
             every.clear()
             target.clear()
-            return pa.record_batch(columns, ["word", "n", "n_target"])
+            return pa.record_batch(columns, ["key", "word", "n", "n_target"])
 
         for batch in batches:
             for text, target in zip(batch["text"], batch["target"].to_pylist()):
@@ -50,128 +58,143 @@ def word_counts(marked: DataFrame) -> DataFrame:
                     yield rows()
         yield rows()
 
-    parts = marked.mapInArrow(run, "word binary, n long, n_target long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    parts = marked.mapInArrow(run, "key long, word binary, n long, n_target long")
+    return parts.groupBy("key", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
-class Vocabulary:
-    """The most frequent words with ids by rank, and the unigram models of both sides (add-one)."""
+def hashes(words: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64)
 
-    def __init__(self, counted: DataFrame, size: int):
-        counted = materialise(counted)
-        total = counted.agg(F.sum("n"), F.sum("n_target")).first()
-        top = counted.orderBy(F.desc("n"), "word").limit(size).collect()  # at most ``size`` words
-        self.ids = {bytes(r.word): i for i, r in enumerate(top)}
-        self.size = len(top)
-        n = np.array([[r.n, r.n_target] for r in top], np.int64).reshape(-1, 2)
-        rest = np.array([[(total[0] or 0), (total[1] or 0)]]) - n.sum(axis=0)
-        #: Counts of (background, target); the last row is the unknown word.
-        self.counts = np.concatenate([n, rest]).astype(np.float64)
-        self.loss = -np.log((self.counts + 1) / (self.counts.sum(axis=0) + self.size + 1))
 
-    def encode(self, text: str | None) -> np.ndarray:
-        get, unknown = self.ids.get, self.size
-        words = words_of(text)
-        return np.fromiter((get(w, unknown) for w in words), np.int64, len(words))
+def pair_key(first: Column, second: Column) -> Column:
+    """The hash of a pair from those of its words; ``pairs_of`` has the same in numpy."""
+    return first.bitwiseXOR(F.shiftleft(second, 17).bitwiseOR(F.shiftrightunsigned(second, 47)))
+
+
+def pairs_of(batch: pa.RecordBatch, part: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (first, second, key, row), sorted by key: the words before and at each place of the texts, in one
+    part of the pairs."""
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        every = np.concatenate(found)
+        row = np.repeat(np.arange(at, at + len(found)), [len(x) for x in found])
+        first, second = every[:-1], every[1:]
+        key = first ^ (second << np.uint64(17) | second >> np.uint64(47))
+        picked = np.flatnonzero((row[1:] == row[:-1]) & (key % np.uint64(PARTS) == part))
+        picked = picked[np.argsort(key[picked])]
+        return first[picked], second[picked], key[picked], row[1:][picked]
+
+    found, size, at = [], 0, 0
+    for text in batch["text"]:
+        words = hashes(words_of(text.as_py()))
+        found.append(np.concatenate([[START], words]))
+        size += len(found[-1])
+        if size >= BLOCK:
+            yield block()
+            at += len(found)
+            found, size = [], 0
+    if found:
+        yield block()
 
 
-def pairs_of(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the second word, keys) of neighbours that are both in the vocabulary."""
-    known = np.flatnonzero((ids[:-1] < size) & (ids[1:] < size)) + 1 if len(ids) else np.empty(0, np.int64)
-    return known, ids[known - 1] * size + ids[known]
+def starts_of(key: np.ndarray) -> np.ndarray:
+    """Where a sorted key begins."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
 
 
-def pair_counts(marked: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(key, n, n_target) of all documents' pairs, summed per batch before the shuffle."""
+def pair_counts(marked: DataFrame, part: int) -> DataFrame:
+    """(first, second, n, n_target) of all documents' pairs in one part, summed per block before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, target = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for text, hit in zip(batch["text"], batch["target"].to_pylist()):
-                _, found = pairs_of(vocabulary.encode(text.as_py()), vocabulary.size)
-                keys.append(found)
-                if hit:
-                    target.append(found)
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            in_target, m = np.unique(np.concatenate(target), return_counts=True)
-            n_target = np.zeros(len(key), np.int64)
-            n_target[np.searchsorted(key, in_target)] = m
-            yield pa.record_batch([pa.array(x) for x in (key, n, n_target)], ["key", "n", "n_target"])
+            hit = np.array(batch["target"].to_pylist(), np.int64)
+            for first, second, key, row in pairs_of(batch, part):
+                if not len(key):
+                    continue
+                at = starts_of(key)
+                columns = [first[at].view(np.int64), second[at].view(np.int64), np.diff(at, append=len(key))]
+                columns.append(np.add.reduceat(hit[row], at))
+                yield pa.record_batch([pa.array(x) for x in columns], ["first", "second", "n", "n_target"])
 
-    parts = marked.mapInArrow(run, "key long, n long, n_target long")
-    return parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    parts = marked.mapInArrow(run, "first long, second long, n long, n_target long")
+    return parts.groupBy("first", "second").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
-def pair_losses(counts: DataFrame, vocabulary: Vocabulary, smoothing: float) -> DataFrame:
-    """(key, gain): the target's loss less the background's of the second word of a pair after the first."""
+class Words:
+    """The known words as a table (key, n, n_target), and sums over it."""
+
+    def __init__(self, counted: DataFrame, size: int | None):
+        counted = materialise(counted)
+        totals = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_target")]
+        self.total = counted.agg(*totals).first()
+        known = counted if size is None else materialise(counted.orderBy(F.desc("n"), "word").limit(size))
+        self.table = known.select("key", "n", "n_target")
+        self.size, *inside = known.agg(F.count(F.lit(1)), *totals).first()
+        #: Counts (background, target) of the unknown words together.
+        self.rest = [a - b for a, b in zip(self.total, inside)]
+
+
+def pair_gains(counts: DataFrame, words: Words, smoothing: float) -> DataFrame:
+    """(key, pair_gain): the target's loss less the background's of the second word of a pair after the first."""
+    first, second = words.table.toDF("first", "n1", "t1"), words.table.toDF("second", "n2", "t2")
+    joined = counts.join(first, "first", "left").join(second, "second", "left")
+    both = F.col("n1").isNotNull() & F.col("n2").isNotNull()
+    chances = []
+    for side, (pair, before, alone) in enumerate([("n", "n1", "n2"), ("n_target", "t1", "t2")]):
+        one = (F.coalesce(alone, F.lit(words.rest[side])) + 1.0) / F.lit(float(words.total[side] + words.size + 1))
+        two = (F.col(pair) + smoothing * one) / (F.col(before) + F.lit(smoothing))
+        chances.append(F.when(both, two).otherwise(one))
+    gain = F.log(chances[0]) - F.log(chances[1])
+    return joined.select(pair_key(F.col("first"), F.col("second")).alias("key"), gain.alias("pair_gain"))
+
+
+def pair_places(marked: DataFrame, part: int) -> DataFrame:
+    """(key, docs): the doc_ids that have a pair of one part, as often as they have it, a row or more per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigram = np.exp(-vocabulary.loss)
         for batch in batches:
-            key = batch["key"].to_numpy(zero_copy_only=False)
-            first, second = key // vocabulary.size, key % vocabulary.size
-            seen = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("n", "n_target")], axis=1)
-            chance = (seen + smoothing * unigram[second]) / (vocabulary.counts[first] + smoothing)
-            gain = np.log(chance[:, 0]) - np.log(chance[:, 1])
-            yield pa.record_batch([batch["key"], pa.array(gain)], ["key", "gain"])
+            ids = batch["doc_id"].cast(pa.int64())
+            for _, _, key, row in pairs_of(batch, part):
+                if not len(key):
+                    continue
+                at = starts_of(key)
+                sizes = np.diff(at, append=len(key))
+                at = np.flatnonzero((np.arange(len(key)) - np.repeat(at, sizes)) % LISTED == 0)
+                ends = pa.array(np.append(at, len(key)).astype(np.int32))
+                docs = pa.ListArray.from_arrays(ends, ids.take(pa.array(row)))
+                yield pa.record_batch([pa.array(key[at].view(np.int64)), docs], ["key", "docs"])
 
-    return counts.mapInArrow(run, "key long, gain double")
+    return marked.mapInArrow(run, "key long, docs array<long>")
 
 
 def score(
-    docs: DataFrame, target: DataFrame, vocabulary_size: int = VOCABULARY, smoothing: float = SMOOTHING
+    docs: DataFrame, target: DataFrame, vocabulary_size: int | None = None, smoothing: float = SMOOTHING
 ) -> DataFrame:
     """(doc_id, n_words, score): mean over words of the target's loss less the background's, per doc_id.
 
     The target model is counted over the rows of ``docs(doc_id, text)`` whose doc_id is in
-    ``target(doc_id)``, the background over all rows; both are bigram models with the same vocabulary,
-    smoothing and handling of unknown words, so that a low score means more like the target. A pair
-    with an unknown word is judged by the second word alone, as is a document's first word. Rows with
-    one doc_id are parts of one document; rows without doc_id are one document, which is in no target.
-    A document without words has score 0, as all have if the target is empty or unknown.
-
-    Pair counts are shuffled by pair; documents meet them as rows (doc_id, pair, count), again by pair,
-    and only sums go on. A hot pair has one row per document and is split by the join.
+    ``target(doc_id)``, the background over all rows; both are bigram models with the same words,
+    smoothing and handling of unknown words, so that a low score means more like the target. All words
+    and all pairs are counted and no word is unknown, unless a caller gives a ``vocabulary_size``: then all
+    but so many words are one unknown word, and a pair with it is judged by the second word alone. So is a
+    document's first word. Rows with one doc_id are parts of one document; rows without doc_id are one
+    document, which is in no target. A document without words has score 0, as all have if the target is
+    empty or unknown.
+
+    Words and pairs are tables keyed by 64-bit hashes; the driver gets three sums. Pair counts are shuffled by
+    pair and meet the counts of their words by joins; documents meet them as rows (pair, documents), again by
+    pair, and only sums go on. A hot pair or word has one row per block or pair and is split by the join.
     """
     wanted = target.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     marked = docs.select("doc_id", "text").join(broadcast_if_small(wanted, BROADCAST_IDS), "doc_id", "left")
     marked = marked.withColumn("target", F.coalesce("target", F.lit(False)))
-    vocabulary = Vocabulary(word_counts(marked), vocabulary_size)
-    model = materialise(pair_losses(pair_counts(marked, vocabulary), vocabulary, smoothing))
-    no_target = not vocabulary.counts[:, 1].sum()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone = vocabulary.loss[:, 1] - vocabulary.loss[:, 0]
-        for batch in batches:
-            ids = batch["doc_id"].to_pylist()
-            numbers, keys, words, gains = [], [], [], []
-            for number, text in enumerate(batch["text"]):
-                found = vocabulary.encode(text.as_py())
-                places, key = pairs_of(found, vocabulary.size)
-                gain = alone[found]
-                gain[places] = 0.0
-                words.append(len(found))
-                gains.append(gain.sum())
-                keys.append(key)
-                numbers.append(np.full(len(key), number))
-            if not ids:
-                continue
-            # Sorted by pair: rows that stand together then differ little, and shuffle files are small.
-            joint = np.concatenate(keys) * len(ids) + np.concatenate(numbers)
-            joint, n = np.unique(joint, return_counts=True)
-            owner = pa.array(ids, pa.int64()).take(pa.array(joint % len(ids)))
-            names = ["doc_id", "key", "n", "words", "gain"]
-            pairs = [owner, pa.array(joint // len(ids)), pa.array(n.astype(np.int32))]
-            empty = [pa.nulls(len(joint), pa.int64()), pa.nulls(len(joint), pa.float64())]
-            yield pa.record_batch([*pairs, *empty], names)
-            apart = -1 - np.random.default_rng(len(joint)).integers(1 << 62, size=len(ids))  # meets no pair
-            rest = [pa.array(apart), pa.nulls(len(ids), pa.int32()), pa.array(words, pa.int64())]
-            yield pa.record_batch([pa.array(ids, pa.int64()), *rest, pa.array(np.array(gains, np.float64))], names)
-
-    rows = marked.mapInArrow(run, "doc_id long, key long, n int, words long, gain double")
-    model = model.withColumnRenamed("gain", "pair_gain").hint("shuffle_hash")
-    value = F.coalesce(F.col("n") * F.col("pair_gain"), F.col("gain"))
-    sums = rows.join(model, "key", "left").select("doc_id", "words", value.alias("value"))
-    sums = sums.groupBy("doc_id").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n_words"), F.sum("value").alias("total"))
-    mean = F.when((F.col("n_words") == 0) | F.lit(no_target), 0.0).otherwise(F.col("total") / F.col("n_words"))
-    return sums.select("doc_id", "n_words", mean.alias("score"))
+    words = Words(word_counts(marked), vocabulary_size)
+    sums = marked.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("total"))
+    for part in range(PARTS):
+        model = materialise(pair_gains(pair_counts(marked, part), words, smoothing)).hint("shuffle_hash")
+        found = pair_places(marked, part).join(model, "key").select(F.explode("docs").alias("doc_id"), "pair_gain")
+        found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum("pair_gain").alias("total"))
+        sums = sums.unionByName(materialise(found))
+    sums = sums.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("total").alias("total"))
+    alike = (F.col("n_words") == 0) | F.lit(not words.total[1])
+    return sums.select("doc_id", "n_words", F.when(alike, 0.0).otherwise(F.col("total") / F.col("n_words")).alias("score"))

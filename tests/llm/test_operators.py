@@ -562,6 +562,32 @@ def test_lm_without_target(odd):
     assert {r.score for r in lm_scoring.score(odd, odd.where("false")).collect()} == {0.0}
 
 
+def test_lm_counts_all_words_and_pairs(spark):
+    filler = [" ".join(f"w{i}" for i in range(a, a + 1000)) for a in range(0, 18_000, 1000)]
+    rows = list(enumerate(filler * 4))
+    rows += [(100, "rare mark of w1"), (101, "rare mark w2"), (102, "seldom sign w2"), (103, "mark rare w2"), (104, " ")]
+    target = {100}
+    found = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame([(100,)], "doc_id long"))
+    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    for i, text in rows:
+        w = text.split()
+        for side in (0, 1) if i in target else (0,):
+            uni[side].update(w)
+            bi[side].update(zip(w, w[1:]))
+
+    def loss(side, before, w):
+        p = (uni[side][w] + 1) / (sum(uni[side].values()) + len(uni[0]) + 1)
+        return -math.log((bi[side][before, w] + 2.0 * p) / (uni[side][before] + 2.0) if before else p)
+
+    got = {r.doc_id: (r.n_words, r.score) for r in found.collect()}
+    assert len(got) == len(rows)
+    for i, text in [*rows[:3], *rows[-5:]]:
+        w = text.split()
+        value = sum(loss(1, b, x) - loss(0, b, x) for b, x in zip([None, *w], w)) / max(len(w), 1)
+        assert got[i] == (len(w), pytest.approx(value, abs=1e-9))
+    assert got[101][1] < got[103][1] < got[102][1]  # a pair, then words, of the target that 16,384 others outnumber
+
+
 # 10 token counts
 
 
