@@ -181,8 +181,9 @@ def links(texts: DataFrame, exact: bool, tile: int = TILE) -> DataFrame:
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """(copy, first_id, kept_copy) of each distinct text of ``docs(doc_id, text)``: the smallest doc_id of its
-    group of near copies, null if all are null, and the smallest text hash of the group.
+    """(copy, first_id, first_text, kept_copy) of each distinct text of ``docs(doc_id, text)``: the smallest doc_id
+    of its group of near copies and the ``xxhash64`` of a text that has it, null if all ids are null, and the
+    smallest text hash of the group.
 
     Fingerprints alone go into the first search. Only texts that have another one within the radius come
     with their shingles into the second, which checks each link.
@@ -190,7 +191,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
     key = F.xxhash64("text").alias("text_key")
     marked = with_marks(docs.select("doc_id", "text", key), size).drop("text")
     firsts = [F.first(c).alias(c) for c in ("n", "fp", "hashes", "text_key")]
-    one = materialise(marked.groupBy("copy").agg(F.min("doc_id").alias("low"), *firsts))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.col("text_key").alias("text")))
+    one = materialise(marked.groupBy("copy").agg(F.min(row).alias("low"), *firsts))
     found = links(one, False, tile)
     close = materialise(found.select(F.explode(F.array("u", "v")).alias("copy")).distinct())
     keys = materialise(one.join(close, "copy", "left_semi").select("text_key").distinct())
@@ -199,21 +201,26 @@ def groups(docs: DataFrame, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
     found = connected_components(links(texts, True, tile)).withColumnRenamed("node", "copy")
     named = one.select("copy", "low").join(found, "copy", "left")
     named = materialise(named.select("copy", "low", F.coalesce("label", "copy").alias("kept_copy")))
-    lowest = named.groupBy("kept_copy").agg(F.min("low").alias("first_id"))
-    return named.join(lowest, "kept_copy").select("copy", "first_id", "kept_copy")
+    lowest = named.groupBy("kept_copy").agg(F.min("low").alias("first"))
+    first = [F.col("first.doc_id").alias("first_id"), F.col("first.text").alias("first_text")]
+    return named.join(lowest, "kept_copy").select("copy", *first, "kept_copy")
 
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """One row of ``docs`` of each group of near copies: that with the smallest doc_id, all columns as they are.
 
     A group is what links of a similarity of at least 0.8 connect. Texts of the same words are copies; null
-    and empty texts and those of white space are copies of each other. Of repeated rows one stays; a group
-    whose ids are all null keeps one row. No rows in, no rows out.
+    and empty texts and those of white space are copies of each other. Of repeated rows one stays; an id that
+    stands on unrelated texts stays with each of them. A group whose ids are all null keeps one row. No rows in,
+    no rows out.
     """
     found = materialise(groups(docs, size, tile))
     key, single = free_name(docs, "kept_id"), free_name(docs, "single_copy")
-    kept = found.where("first_id is not null").select(F.col("first_id").alias(key)).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
+    text, own = free_name(docs, "kept_text"), free_name(docs, "text_key")
+    kept = found.where("first_id is not null").select(F.col("first_id").alias(key), F.col("first_text").alias(text))
+    same = (F.col("doc_id") == F.col(key)) & (F.col(own) == F.col(text))
+    named = docs.withColumn(own, F.xxhash64("text")).join(kept.distinct(), same, "left_semi")
+    named = named.dropDuplicates(["doc_id", own]).drop(own)
     names = tuple(free_name(docs, f"{n}_of_text") for n in ("copy", "n", "fp", "hashes"))
     nameless = found.where("first_id is null and copy = kept_copy").select(F.col("copy").alias(single))
     others = with_marks(docs.where("doc_id is null"), size, names=names)

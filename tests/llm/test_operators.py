@@ -189,6 +189,16 @@ def test_near_copies_of_every_length(spark, tile, monkeypatch):
     assert kept == sorted(set(brute_near_groups(rows)))
 
 
+def test_unrelated_texts_of_one_id_stay(spark):
+    rng = random.Random(3)
+    a, b, c, d = ([rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(200)] for _ in range(4))
+    near = [*a[:-1], "end"]
+    rows = [(1, a), (2, near), (2, b), (3, c), (3, d), (3, d), (None, d)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    kept = sorted((r.doc_id, r.text) for r in near_copies.drop_near_copies(docs).collect())
+    assert kept == sorted((i, " ".join(w)) for i, w in [(1, a), (2, b), (3, c), (3, d)])
+
+
 def test_near_copies_without_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(None, text), (None, text + " end"), (None, text.upper()), (None, None), (None, ""), (5, "other words")]
