@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.llm import (
     decontamination,
+    jaccard_join,
     line_dedup,
     lm_scoring,
     packing,
@@ -100,3 +101,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, PIECES).select("doc_id", "n_words", "n_tokens")
+
+
+@query
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"))
