@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.llm.common import connected_components, with_fields
-from schemaloom.runtime import materialise
+from schemaloom.runtime import broadcast_if_small, materialise
 
 SHINGLE = 3
 PERCENT = 90
@@ -27,6 +28,8 @@ ORDERS = 3
 BITS = 256
 #: Sets of a list that are compared in one go; a longer list is dealt to tiles, which meet in pairs.
 TILE = 2048
+#: Rows (16 bytes each) of sets that may have a similar one, up to which they are broadcast to find their texts.
+BROADCAST_KEYS = 2_000_000
 #: Words whose hashes a worker keeps, and texts that leave it at once.
 KEPT = 400_000
 TEXTS = 256
@@ -114,9 +117,9 @@ def with_sets(docs: DataFrame, size: int, percent: int, names: tuple, whole: boo
 
 
 def hopeful(marked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The ``classes(s, n, ...)`` that may have a similar set: fewer of the first tokens (by hash) are theirs alone than
+    """Those of ``classes(s, n, ...)`` that may have a similar set: fewer of the first tokens (by hash) are theirs alone than
     the prefix is long. A token's sets are not gathered; the least and the greatest of them tell."""
-    tokens = marked.select("s", F.explode("head").alias("token"))
+    tokens = marked.select("s", F.explode("head").alias("token"))  # map-side, a task's copies of a set are one
     alone = tokens.groupBy("token").agg(F.min("s").alias("s"), F.max("s").alias("last")).where("s = last")
     alone = alone.groupBy("s").agg(F.count(F.lit(1)).alias("alone"))
     found = classes.where(partnered(F.col("n"), percent)).join(alone, "s", "left")
@@ -170,11 +173,21 @@ def prefixes(shared: DataFrame, percent: int) -> DataFrame:
 
 
 class Tile:
-    def __init__(self, rows: pa.StructArray):
-        s, n, c, parity, masks, label = rows.flatten()
-        self.s, self.n, self.c, self.label = (x.to_numpy() for x in (s, n, c, label))
-        self.parity = np.frombuffer(b"".join(parity.to_pylist()), np.uint64).reshape(len(self.s), -1)
-        self.masks = np.frombuffer(b"".join(masks.to_pylist()), np.uint64).reshape(len(self.s), ORDERS - 1, -1)
+    """The sets of a list column, or some of them, as arrays."""
+
+    def __init__(self, rows: pa.StructArray | None):
+        if rows is None:
+            return
+        self.s, self.n, self.c, parity, masks, self.label = (
+            np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), -1) if pa.types.is_binary(x.type) else x.to_numpy()
+            for x in rows.flatten()
+        )
+        self.parity, self.masks = parity, masks.reshape(len(masks), ORDERS - 1, -1)
+
+    def part(self, start: int, stop: int) -> Tile:
+        tile = Tile(None)
+        tile.__dict__ = {k: v[start:stop] for k, v in self.__dict__.items()}
+        return tile
 
 
 def candidates(a: Tile, b: Tile, same: bool, all_pairs: bool, percent: int) -> list[tuple[int, int]]:
@@ -228,9 +241,11 @@ def candidate_pairs(rows: DataFrame, all_pairs: bool, percent: int, tile: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for x, y, same in zip(batch["x"], batch["y"], batch["same"].to_pylist()):
-                a = Tile(x.values)
-                found += candidates(a, a if same else Tile(y.values), same, all_pairs, percent)
+            every = [Tile(batch[c].flatten()) for c in ("x", "y")]
+            ends = [np.cumsum([0, *pc.list_value_length(batch[c]).to_pylist()]).tolist() for c in ("x", "y")]
+            for i, same in enumerate(batch["same"].to_pylist()):
+                a, b = (t.part(e[i], e[i + 1]) for t, e in zip(every, ends))
+                found += candidates(a, a if same else b, same, all_pairs, percent)
             if found:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
 
@@ -261,13 +276,15 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: i
     """
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     marked = materialise(with_sets(named, size, percent, ("s", "n", "head"), False))
-    lowest = [F.min("doc_id").alias("low"), F.max("n").alias("n"), F.min("key").alias("key")]
+    lowest = [F.min("doc_id").alias("low"), F.max("n").alias("n"), F.min(F.struct("key", "doc_id")).alias("row")]
     classes = materialise(marked.where("n > 0").groupBy("s").agg(*lowest))
-    kept = materialise(hopeful(marked, classes, percent))
-    texts = named.select("text", "key").join(kept.select("key").distinct(), "key", "left_semi")
-    texts = texts.dropDuplicates(["key"]).select("text")
+    kept = materialise(hopeful(marked, classes, percent).select("row.key", F.col("row.doc_id").alias("id")))
+    one = (F.col("key") == F.col("kept.key")) & F.col("doc_id").eqNullSafe(F.col("kept.id"))
+    texts = named.join(broadcast_if_small(kept, BROADCAST_KEYS).alias("kept"), one, "left_semi").select("text")
     sets = materialise(with_sets(texts, size, percent, ("s", "n", "tokens"), True).dropDuplicates(["s"]))
-    rows = materialise(prefixes(shared_tokens(sets, percent), percent))
+    longer = sets.select("s", F.slice("tokens", F.lit(1), (prefix_column(F.col("n"), percent) * 6).cast("int")).alias("head"))
+    shared = shared_tokens(hopeful(longer, sets, percent), percent)
+    rows = materialise(prefixes(shared, percent))
 
     first = candidate_pairs(rows.withColumn("label", F.col("s")), False, percent, tile)
     links = materialise(verified(first, sets, percent))

@@ -16,6 +16,7 @@ from schemaloom.llm import (
     packing,
     quality_rules,
     simhash,
+    spelling,
     suffix_dedup,
     token_counts,
     toxicity,
@@ -106,3 +107,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), damage=31)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
