@@ -22,14 +22,12 @@ from pyspark.sql import functions as F
 from schemaloom.functions.text import strip, word_count, words_ascii, words_wide
 from schemaloom.operators.catalogue import union_all
 from schemaloom.operators.documents import sample_phrases
+from schemaloom.operators.nearest import vector_top_k  # noqa: F401
 from schemaloom.runtime import broadcast_if_small, materialise
 
 # Questions sent to the tasks at once; more are worked off in equal slices.
 QUESTION_SLICE = 4_000
 
-# Vectors of a batch are multiplied with this many query vectors at a time.
-QUERY_BLOCK = 256
-
 # Words of a question about related tables.
 RELATION_WORDS = ["participate", "participating", "belong", "taken", "enrolled", "related", "between", "each"]
 
@@ -454,56 +452,6 @@ def _global_top(found: DataFrame, k: int, largest: bool) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, same_group: bool = False) -> DataFrame:
-    """(q_id, d_id, distance, rank): the ``k`` nearest vectors by squared distance, exact.
-
-    ``queries`` has (q_id, vector[, grp]); ``vectors`` has (d_id, vector[, grp]). With
-    ``same_group`` a query sees only the vectors of its own group. Ties prefer the smaller
-    id. Hot groups need no care: vectors are never regrouped, only scanned.
-    """
-    columns = ["d_id", "vector"] + (["grp"] if same_group else [])
-
-    def run(batch: pd.DataFrame) -> DataFrame:
-        ids = batch["q_id"].tolist()
-        matrix = np.array([list(v) for v in batch["vector"]], dtype="float64").reshape(len(ids), -1 if ids else 0)
-        query_sizes = np.einsum("ij,ij->i", matrix, matrix)
-        groups = {}
-        for n, g in enumerate(batch["grp"].tolist() if same_group else [None] * len(batch)):
-            groups.setdefault(g, []).append(n)
-
-        def score(rows: pd.DataFrame):
-            if not len(rows):
-                return
-            data = np.array(rows["vector"].tolist(), dtype="float64")
-            d_ids = rows["d_id"].to_numpy()
-            row_groups = rows["grp"].to_numpy() if same_group else None
-            for g, members in groups.items():
-                near = data if g is None else data[row_groups == g]
-                near_ids = d_ids if g is None else d_ids[row_groups == g]
-                if not len(near):
-                    continue
-                sizes = np.einsum("ij,ij->i", near, near)
-                for start in range(0, len(members), QUERY_BLOCK):
-                    block = members[start : start + QUERY_BLOCK]
-                    # A matrix product gives distances up to rounding; every row within a
-                    # margin far above the rounding error is measured again exactly.
-                    rough = sizes[:, None] + query_sizes[block] - 2.0 * near @ matrix[block].T
-                    last = min(k, len(near)) - 1
-                    margin = 1e-9 * (1.0 + sizes.max() + query_sizes[block])
-                    limit = np.partition(rough, last, axis=0)[last] + margin
-                    for at, n in enumerate(block):
-                        kept = np.flatnonzero(rough[:, at] <= limit[at])
-                        gap = near[kept] - matrix[n]
-                        yield ids[n], near_ids[kept], np.einsum("ij,ij->i", gap, gap)
-
-        found = vectors.select(*columns).mapInPandas(
-            _best_in_task(score, k, largest=False), "q_id bigint, d_id bigint, value double"
-        )
-        return _global_top(found, k, largest=False)
-
-    return _in_slices(queries, run).withColumnRenamed("value", "distance")
-
-
 def overlap_top_k(questions: DataFrame, documents: DataFrame, k: int, tokens: Callable[[Column], Column]) -> DataFrame:
     """(q_id, d_id, score, rank): the ``k`` documents sharing most distinct tokens, exact.
 

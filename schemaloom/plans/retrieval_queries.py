@@ -405,12 +405,12 @@ CANDIDATES = 50
 CANDIDATE_SQL = f"""
 cand_ as (
   select near_.q_id, near_.d_id, rank, source,
-    cast(len(list_intersect({tokens_sql("q_.text", NARROW)}, {tokens_sql("d.text", NARROW)})) as bigint) as score
-  from near_ join q_ using (q_id) join documents d on d.doc_id = near_.d_id)"""
+    cast(coalesce(len(list_intersect({tokens_sql("q_.text", NARROW)}, {tokens_sql("d.text", NARROW)})), 0) as bigint) as score
+  from near_ join q_ using (q_id) left join documents d on d.doc_id = near_.d_id)"""
 
 
 def _candidates(spark, sf_dir):
-    """Vector candidates with their lexical score, cut on the candidate pairs only."""
+    """Vector candidates with their lexical score, cut on the candidate pairs only; 0 for a vector without document."""
     asked = question_vectors(spark, sf_dir)
     near = retrieval.vector_top_k(asked, document_vectors(spark, sf_dir), CANDIDATES)
     docs = load(spark, sf_dir, "documents").select(
@@ -418,11 +418,10 @@ def _candidates(spark, sf_dir):
     )
     words = asked.select("q_id", words_narrow(F.col("text")).alias("q_words"))
     return (
-        near.join(docs, "d_id")
+        near.join(docs, "d_id", "left")
         .join(words, "q_id")
-        .select(
-            "q_id", "d_id", "rank", "source", F.size(F.array_intersect("q_words", "d_words")).cast("bigint").alias("score")
-        )
+        .withColumn("shared", F.coalesce(F.array_intersect("q_words", "d_words"), F.array().cast("array<string>")))
+        .select("q_id", "d_id", "rank", "source", F.size("shared").cast("bigint").alias("score"))
     )
 
 
@@ -438,14 +437,14 @@ def two_stage(spark, sf_dir):
 @query(
     "r12_rank_bonus",
     f"""with {VECTOR_SQL},{nearest_sql(CANDIDATES)},{CANDIDATE_SQL},
-      s as (select q_id, source, max(score) as score from cand_ group by 1, 2),
+      s as (select q_id, source, max(score) as score from cand_ where source is not null group by 1, 2),
       sized as (select q_id, least(count(*), 6) as size from s group by 1),
       hit as (select q_id, source, min(rank) as hit from cand_ join sized using (q_id) where rank <= size group by 1, 2)
       select q_id, source as "table", cast(coalesce([12, 9, 7, 5, 3, 2][hit], 0) as bigint) as bonus,
         score + coalesce([12, 9, 7, 5, 3, 2][hit], 0) as score from s left join hit using (q_id, source)""",
 )
 def rank_bonus(spark, sf_dir):
-    found = materialise(_candidates(spark, sf_dir))
+    found = materialise(_candidates(spark, sf_dir).filter("source is not null"))
     scored = found.groupBy("q_id", F.col("source").alias("table")).agg(F.max("score").alias("score"))
     hits = found.select("q_id", F.col("source").alias("table"), "rank")
     return retrieval.rank_bonus(scored, hits).select("q_id", "table", "bonus", "score")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from schemaloom.functions.text import words_narrow
-from schemaloom.operators import retrieval, routing
+from schemaloom.operators import nearest, retrieval, routing
 
 DOCS = {
     "a": "TABLE: student\nCOLUMNS:\n- id (INTEGER)\nFOREIGN KEYS:\n- city -> cities.id\nSAMPLE VALUES:\n- hobby: Mountain Climbing, Golf, golf",
@@ -109,7 +109,7 @@ def test_overlap_top_k_matches_brute_force(spark, monkeypatch):
     assert run() == expected
 
 
-def test_vector_top_k_matches_brute_force(spark, monkeypatch):
+def test_vector_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = rng.integers(-3, 4, size=(200, 8)).astype("float32")
     groups = [0 if n % 3 else n % 7 for n in range(200)]
@@ -132,14 +132,38 @@ def test_vector_top_k_matches_brute_force(spark, monkeypatch):
             rows += [(n, m, dist, k + 1) for k, (dist, m) in enumerate(near)]
         return rows
 
-    def run(same):
-        found = retrieval.vector_top_k(q, v, 9, same_group=same).select("q_id", "d_id", "distance", "rank")
+    def run(same, **sizes):
+        found = retrieval.vector_top_k(q, v, 9, same_group=same, **sizes).select("q_id", "d_id", "distance", "rank")
         return sorted((tuple(r) for r in found.collect()), key=lambda r: (r[0], r[3]))
 
     assert run(False) == expected(False)
     assert run(True) == expected(True)
-    monkeypatch.setattr(retrieval, "QUESTION_SLICE", 5)
-    assert run(True) == expected(True)
+    # The same with blocks of few rows.
+    assert run(True, query_block=2, block_bytes=640) == expected(True)
+    assert run(False, query_block=5, block_bytes=640) == expected(False)
+
+
+def test_blocks_far_away_are_never_read(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 4)) * 1000
+    vectors = [(n, (centres[n % 6] + rng.normal(size=4)).tolist(), 0) for n in range(300)]
+    v = spark.createDataFrame(vectors, "d_id bigint, vector array<double>, grp int")
+    q = spark.createDataFrame([(0, vectors[0][1], 0), (1, None, 0)], "q_id bigint, vector array<double>, grp int")
+    pivots = np.array([vectors[n][1] for n in range(6)])
+
+    def cut(frame, name):
+        shaped = frame.select(F.col(name).alias("id"), F.lit("0").alias("grp"), F.col("vector").alias("data"))
+        return nearest.blocks(shaped.where("data is not null"), pivots, 10)
+
+    held = cut(v, "d_id")
+    pairs = nearest.block_pairs(cut(q, "q_id"), held, pivots, 10).collect()
+    cells = {r["block"]: r["cell"] for r in held.collect()}
+    assert {cells[r["vb"]] for r in pairs} == {0} and len(cells) > 25
+    found = retrieval.vector_top_k(q, v, 3).collect()
+    own = np.array([x for _, x, _ in vectors])
+    order = np.argsort(((own - own[0]) ** 2).sum(axis=1), kind="stable")[:3]
+    assert [r["d_id"] for r in sorted(found, key=lambda r: r["rank"])] == order.tolist()
+    assert retrieval.vector_top_k(q, v.limit(0), 3).collect() == []
 
 
 def test_scores_are_the_same_without_broadcast(spark, monkeypatch):
