@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from schemaloom.functions import ddl
 from schemaloom.functions.text import flatten_text
 from schemaloom.operators import catalogue, documents, keys
 from schemaloom.operators.catalogue import Table
