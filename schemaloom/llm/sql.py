@@ -50,6 +50,10 @@ from judged j join hosts h on j.host is not distinct from h.host, prior
 """
 
 
+#: Rounds of spreading in the SQL form: the given pages link within their hosts only, where one is as good as all.
+ROUNDS = 3
+
+
 def _op3() -> str:
     u = url_filters
     ordered = sorted(u.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
@@ -80,7 +84,7 @@ with parts as (
     avg((rule_verdict is not distinct from 'block')::int) as bad from ruled group by host
 ), t0 as (select host, {1 - u.DAMPING} * good as score from hosts),
 d0 as (select host, {1 - u.DAMPING} * bad as score from hosts)"""
-    for i in range(1, u.ROUNDS + 1):
+    for i in range(1, ROUNDS + 1):
         for name, edges in (("t", "edges"), ("d", "back")):
             head += f""", {name}{i} as (
   select host, sum(score) as score from (select * from {name}0 union all
@@ -88,7 +92,7 @@ d0 as (select host, {1 - u.DAMPING} * bad as score from hosts)"""
     return head + f"""
 select page_id, r.host, path, rule, coalesce(rule_verdict,
   case when r.host <> '' and d.score - t.score >= {u.THRESHOLD} then 'block' else 'allow' end) as verdict
-from ruled r join t{u.ROUNDS} t on t.host = r.host join d{u.ROUNDS} d on d.host = r.host
+from ruled r join t{ROUNDS} t on t.host = r.host join d{ROUNDS} d on d.host = r.host
 """
 
 

@@ -16,12 +16,15 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 DAMPING = 0.85
-ROUNDS = 10
+#: Rounds go on until all that is still to come adds up to less than this.
+TOLERANCE = 1e-6
+#: Rounds whose scores are summed at once.
+SUMMED = 16
 #: Distrust less trust at which a host is blocked; half of a fully blocked host's own distrust.
 THRESHOLD = 0.5 * (1 - DAMPING)
 
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"'>]++)"""
+LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"'>]++)"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -68,25 +71,36 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pairs.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, score): personalised PageRank of ``seeds(host, seed)`` along ``edges(src, dst, share)``.
 
-    Each round sends a host's score along its edges and sums per target, with map-side combining; the
-    round's scores are written, so that the plan does not grow and lost executors cost one round.
+    Each round sends on what the last one brought, summed per target with map-side combining; the sum of
+    all rounds is the score. A round brings at most ``damping`` times the last, so what is still to come is
+    bounded, and the rounds end when it is less than ``tolerance`` for all hosts together. Every round is written, so that
+    the plan does not grow and lost executors cost one round.
     """
     base = seeds.where("seed > 0").select("host", ((1 - damping) * F.col("seed")).alias("score"))
-    scores = base = materialise(base)
-    if not edges.take(1):
-        return scores
-    for _ in range(rounds):
-        sent = edges.join(scores.toDF("src", "score"), "src").select(
+    wave = total = materialise(base)
+    brought: list[DataFrame] = []
+    while (wave.agg(F.sum("score")).first()[0] or 0.0) * damping >= tolerance * (1 - damping):
+        sent = edges.join(wave.toDF("src", "score"), "src").select(
             F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score")
         )
-        scores = materialise(base.unionByName(sent).groupBy("host").agg(F.sum("score").alias("score")))
-    return scores
+        wave = materialise(sent.groupBy("host").agg(F.sum("score").alias("score")))
+        brought.append(wave)
+        if len(brought) == SUMMED:
+            total, brought = materialise(_summed([total, *brought])), []
+    return _summed([total, *brought]) if brought else total
 
 
-def host_scores(ruled: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def _summed(parts: list[DataFrame]) -> DataFrame:
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("host").agg(F.sum("score").alias("score"))
+
+
+def host_scores(ruled: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust): trust runs along the links, distrust against them.
 
     A host's seed is the share of its pages that a rule allows (trust) or blocks (distrust).
@@ -96,8 +110,8 @@ def host_scores(ruled: DataFrame, edges: DataFrame, rounds: int = ROUNDS, dampin
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share")
     total = back.groupBy("src").agg(F.sum("share").alias("total"))
     back = materialise(back.join(total, "src").select("src", "dst", (F.col("share") / F.col("total")).alias("share")))
-    trust = spread(hosts.select("host", F.col("good").alias("seed")), edges, rounds, damping)
-    distrust = spread(hosts.select("host", F.col("bad").alias("seed")), back, rounds, damping)
+    trust = spread(hosts.select("host", F.col("good").alias("seed")), edges, damping)
+    distrust = spread(hosts.select("host", F.col("bad").alias("seed")), back, damping)
     scored = hosts.select("host").join(trust.toDF("host", "trust"), "host", "left")
     scored = scored.join(distrust.toDF("host", "distrust"), "host", "left")
     return scored.na.fill(0.0, ["trust", "distrust"])
@@ -106,7 +120,6 @@ def host_scores(ruled: DataFrame, edges: DataFrame, rounds: int = ROUNDS, dampin
 def judge_urls(
     pages: DataFrame,
     rules: list[tuple[str, str, str]] = RULES,
-    rounds: int = ROUNDS,
     damping: float = DAMPING,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
@@ -118,7 +131,7 @@ def judge_urls(
     """
     ruled = materialise(ruled_pages(pages, rules))
     edges = materialise(host_edges(pages))
-    scores = host_scores(ruled, edges, rounds, damping)
+    scores = host_scores(ruled, edges, damping)
     blocked = scores.where((F.col("distrust") - F.col("trust") >= threshold) & (F.col("host") != ""))
     joined = ruled.join(blocked.select("host", F.lit("block").alias("spread")), "host", "left")
     verdict = F.coalesce("rule_verdict", "spread", F.lit("allow"))

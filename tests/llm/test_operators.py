@@ -258,7 +258,7 @@ def test_urls(spark, url_rows):
     for verdict, flow in (("allow", share), ("block", {(b, a): s / total[b] for (a, b), s in share.items()})):
         base = {h: 0.15 * sum(p[0] == h and p[3] == verdict for p in parts) / max(count[h], 1) for h in hosts}
         now = dict(base)
-        for _ in range(url_filters.ROUNDS):
+        for _ in range(200):
             now = {h: base[h] + sum(0.85 * s * now[a] for (a, b), s in flow.items() if b == h) for h in hosts}
         scores[verdict] = now
     expected = []
@@ -270,6 +270,19 @@ def test_urls(spark, url_rows):
     assert verdicts[13] == "block" and verdicts[14] == "allow"
 
 
+def test_distrust_goes_back_along_long_chains(spark):
+    rows = [(i, f"http://h{i}.org/", link(f"h{i + 1}.org")) for i in range(16)] + [(16, "http://h16.org/bad/", "")]
+    ruled = url_filters.ruled_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), [("block", "h16.org", "/bad/")])
+    edges = url_filters.host_edges(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    found = {r.host: r.distrust for r in url_filters.host_scores(ruled, edges).collect()}
+    assert found == pytest.approx({f"h{i}.org": 0.15 * 0.85 ** (16 - i) for i in range(17)}, abs=1e-6)
+
+
+def test_many_unclosed_links(spark):
+    frame = spark.createDataFrame([(1, "http://a.org/", "<a " * 200_000 + link("b.org"))], "page_id long, url string, html string")
+    assert [tuple(r) for r in url_filters.host_edges(frame).collect()] == [("a.org", "b.org", 1.0)]
+
+
 # 4 toxicity
 
 
@@ -299,6 +312,22 @@ def test_toxicity_on_held_out_rows(spark):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) == truth[r.doc_id]
 
 
+def test_words_that_clean_documents_have_too(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(1500):
+        toxic = int(i % 3 == 0)
+        text = [rng.choice("alpha beta gamma delta stone river cloud".split()) for _ in range(30)]
+        text += [w for w in ("vexworm", "rotwretch") if rng.random() < (0.9 if toxic else 0.05)]
+        rows.append((i, " ".join(text), toxic))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {r.doc_id: r for r in toxicity.judge(docs, labels).collect()}
+    held = [(found[i].predicted, y) for i, _, y in rows if found[i].held_out]
+    caught = [p for p, y in held if y]
+    assert sum(caught) >= 0.75 * len(caught) and sum(p for p, y in held if not y) <= 0.02 * len(held)
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     rows = toxic_rows(300)
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").drop("toxic")
