@@ -1,8 +1,9 @@
 """Joins documents whose sets of word n-grams are alike, by prefixes under several global token orders.
 
 Two sets of a Jaccard similarity of at least ``percent`` / 100 share a token among the first few of each
-under *every* order of all tokens. A first order (by hash) judges whole sets: of twice the prefix, more than
-half must be shared with anyone. What is left is ordered three times, each time rare tokens first and then
+under *every* order of all tokens. A set that has as many tokens of its own as the prefix is long has no such
+token once those are put first, and goes; a share of all tokens, below a bound of their hash, tells this of most
+sets. What is left is ordered three times, each time rare tokens first and then
 by another hash; pairs come from the lists of the first order and must pass the others before they are verified.
 """
 
@@ -22,6 +23,8 @@ from schemaloom.runtime import broadcast_if_small, materialise
 
 SHINGLE = 3
 PERCENT = 90
+#: Shares of all tokens, by hash, that are looked at first, and then of the sets that are left.
+SHARES = (0.2, 0.6)
 #: Orders whose prefixes a pair must share, the one behind the lists included.
 ORDERS = 3
 #: Bits of a set's parities, and of the mask of a prefix.
@@ -88,7 +91,8 @@ def lists(values: list[np.ndarray]) -> pa.ListArray:
 
 def with_sets(docs: DataFrame, size: int, percent: int, names: tuple, whole: bool) -> DataFrame:
     """``docs`` without ``text`` but with the hash of its set, the set's size and the tokens: all if ``whole``, else
-    the least twice the prefix, once per set and batch."""
+    the first share of those of sets that can have a similar one, once per set and batch."""
+    bound = np.uint64(int(SHARES[0] * 2**32) << 32)
     rest = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +109,7 @@ def with_sets(docs: DataFrame, size: int, percent: int, names: tuple, whole: boo
                     sizes.append(len(found))
                     if not whole:
                         useless = key in seen or not partnered(len(found), percent)
-                        found = found[: 0 if useless else 2 * prefix_length(len(found), percent)]
+                        found = found[: 0 if useless else np.searchsorted(found, bound)]
                         seen.add(key)
                     tokens.append(found.view(np.int64))
                 columns = [batch[f.name] for f in rest]
@@ -117,8 +121,8 @@ def with_sets(docs: DataFrame, size: int, percent: int, names: tuple, whole: boo
 
 
 def hopeful(marked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of ``classes(s, n, ...)`` that may have a similar set: fewer of the first tokens (by hash) are theirs alone than
-    the prefix is long. A token's sets are not gathered; the least and the greatest of them tell."""
+    """Those of ``classes(s, n, ...)`` that may have a similar set: fewer of the tokens in ``head`` are theirs alone than the
+    prefix is long. A token's sets are not gathered; the least and the greatest of them tell."""
     tokens = marked.select("s", F.explode("head").alias("token"))  # map-side, a task's copies of a set are one
     alone = tokens.groupBy("token").agg(F.min("s").alias("s"), F.max("s").alias("last")).where("s = last")
     alone = alone.groupBy("s").agg(F.count(F.lit(1)).alias("alone"))
@@ -178,11 +182,11 @@ class Tile:
     def __init__(self, rows: pa.StructArray | None):
         if rows is None:
             return
-        self.s, self.n, self.c, parity, masks, self.label = (
-            np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), -1) if pa.types.is_binary(x.type) else x.to_numpy()
-            for x in rows.flatten()
-        )
-        self.parity, self.masks = parity, masks.reshape(len(masks), ORDERS - 1, -1)
+        s, n, c, parity, masks, label = rows.flatten()
+        self.s, self.n, self.c, self.label = (x.to_numpy() for x in (s, n, c, label))
+        words = BITS // 64
+        self.parity = np.frombuffer(b"".join(parity.to_pylist()), np.uint64).reshape(len(s), words)
+        self.masks = np.frombuffer(b"".join(masks.to_pylist()), np.uint64).reshape(len(s), ORDERS - 1, words)
 
     def part(self, start: int, stop: int) -> Tile:
         tile = Tile(None)
@@ -278,11 +282,13 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tile: i
     marked = materialise(with_sets(named, size, percent, ("s", "n", "head"), False))
     lowest = [F.min("doc_id").alias("low"), F.max("n").alias("n"), F.min(F.struct("key", "doc_id")).alias("row")]
     classes = materialise(marked.where("n > 0").groupBy("s").agg(*lowest))
-    kept = materialise(hopeful(marked, classes, percent).select("row.key", F.col("row.doc_id").alias("id")))
-    one = (F.col("key") == F.col("kept.key")) & F.col("doc_id").eqNullSafe(F.col("kept.id"))
-    texts = named.join(broadcast_if_small(kept, BROADCAST_KEYS).alias("kept"), one, "left_semi").select("text")
+    kept = hopeful(marked, classes, percent)
+    kept = materialise(kept.select(F.col("row.key").alias("kept_key"), F.col("row.doc_id").alias("kept_id")))
+    one = (F.col("key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    texts = named.join(broadcast_if_small(kept, BROADCAST_KEYS), one, "left_semi").select("text")
     sets = materialise(with_sets(texts, size, percent, ("s", "n", "tokens"), True).dropDuplicates(["s"]))
-    longer = sets.select("s", F.slice("tokens", F.lit(1), (prefix_column(F.col("n"), percent) * 6).cast("int")).alias("head"))
+    below = int(SHARES[1] * 2**32)
+    longer = sets.select("s", F.filter("tokens", lambda x: F.shiftrightunsigned(x, 32) < below).alias("head"))
     shared = shared_tokens(hopeful(longer, sets, percent), percent)
     rows = materialise(prefixes(shared, percent))
 
