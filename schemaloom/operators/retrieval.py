@@ -4,30 +4,24 @@ Two shapes of work occur:
 
 * many questions against the documents of a catalogue (bounded): features of the
   documents are joined by key, never question by document;
-* a batch of questions against a large collection (documents or vectors): the batch,
-  checked for size, travels to the tasks, and every task keeps only its best ``k`` rows
-  per question, so at most ``k`` rows per question and task are shuffled.
+* questions against a large collection (documents or vectors): both sides are cut into blocks, a
+  task takes a pair of them, and at most ``k`` rows per question leave it.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemaloom.functions.text import strip, word_count, words_ascii, words_wide
 from schemaloom.operators.catalogue import union_all
 from schemaloom.operators.documents import sample_phrases
+from schemaloom.operators.impact import top_scores
 from schemaloom.operators.nearest import vector_top_k  # noqa: F401
 from schemaloom.runtime import broadcast_if_small, materialise
 
-# Questions sent to the tasks at once; more are worked off in equal slices.
-QUESTION_SLICE = 4_000
-
 # Words of a question about related tables.
 RELATION_WORDS = ["participate", "participating", "belong", "taken", "enrolled", "related", "between", "each"]
 
@@ -102,9 +96,9 @@ def table_name(metadata_name: Column, text: Column) -> Column:
 
 # --- feature join --------------------------------------------------------------------
 
-# Keys are plain three-character pieces, or a word behind a mark. Marked keys are longer
-# than three characters, so the two never meet.
-TOKEN_MARK, BOOST_MARK = "tok:", "key:"
+# Keys are a word or a phrase behind a mark; run starts of three characters have none. Marked keys are
+# longer than three characters, so that they never meet those.
+TOKEN_MARK, PHRASE_MARK, BOOST_MARK = "tok:", "phr:", "key:"
 
 
 def _lowered(questions: DataFrame, **facts: Column) -> DataFrame:
@@ -126,17 +120,36 @@ def _marked(words: Column, mark: str) -> Column:
     return F.transform(words, lambda w: F.concat(F.lit(mark), w))
 
 
+def contained_phrases(questions: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(q_id, phrase): the distinct phrases of at least three characters that lie in a question's lower-case text.
+
+    ``questions`` has (q_id, q_text), ``phrases`` (phrase). From every place of a question a window as long as the longest
+    phrase is cut; windows and phrases meet by their first three characters. So a text stands on one row,
+    and a question costs its length times that of a phrase.
+    """
+    known = materialise(phrases.select("phrase").filter(F.length("phrase") >= 3).distinct())
+    longest = known.agg(F.max(F.length("phrase"))).first()[0] or 3
+    windows = F.array_distinct(F.regexp_extract_all("q_text", F.lit(f"(?s)(?=(.{{3,{longest}}}))"), F.lit(1)))
+    cut = questions.select("q_id", F.explode(windows).alias("window")).withColumn("start", F.substring("window", 1, 3))
+    known = known.withColumn("start", F.substring("phrase", 1, 3))
+    met = cut.join(broadcast_if_small(known), "start").filter(F.col("window").startswith(F.col("phrase")))
+    return met.select("q_id", "phrase").distinct()
+
+
 def _question_keys(
-    questions: DataFrame, tokens: Callable[[Column], Column] | None, with_grams: bool = True, **facts: Column
+    questions: DataFrame, tokens: Callable[[Column], Column] | None, phrases: DataFrame | None = None, **facts: Column
 ) -> DataFrame:
-    """Questions with one row per distinct token and per distinct three-character piece."""
-    text, keys = F.col("q_text"), []
+    """(q_id, facts..., key): one row per distinct token and per contained phrase of a question."""
+    lowered = _lowered(questions, **facts)
+    parts = []
     if tokens is not None:
-        keys.append(_marked(tokens(text), TOKEN_MARK))
-    if with_grams:
-        keys.append(_grams(text))
-    # The outer form builds the array once; the plain form would also build it in a filter.
-    return _lowered(questions, **facts).select("q_id", "q_text", *facts, F.explode_outer(F.concat(*keys)).alias("key"))
+        parts.append(lowered.select("q_id", *facts, F.explode(_marked(tokens(F.col("q_text")), TOKEN_MARK)).alias("key")))
+    if phrases is not None:
+        inside = contained_phrases(lowered, phrases).withColumn("key", F.concat(F.lit(PHRASE_MARK), "phrase"))
+        if facts:
+            inside = inside.join(lowered.select("q_id", *facts), "q_id")
+        parts.append(inside.select("q_id", *facts, "key"))
+    return union_all(parts)
 
 
 def _token_features(documents: DataFrame, tokens: Column, **points: int) -> DataFrame:
@@ -151,10 +164,7 @@ def _features(parts: list[DataFrame], names: list[str]) -> DataFrame:
         shaped.append(
             part.select(
                 "d_id",
-                F.substring("phrase", 1, 3).alias("key")
-                if is_phrase
-                else F.concat(F.lit(TOKEN_MARK), "key").alias("key"),
-                F.col("phrase") if is_phrase else F.lit(None).cast("string").alias("phrase"),
+                F.concat(F.lit(PHRASE_MARK if is_phrase else TOKEN_MARK), "phrase" if is_phrase else "key").alias("key"),
                 *[F.col(n) if n in part.columns else F.lit(None).cast(kinds[n]).alias(n) for n in names],
             )
         )
@@ -162,18 +172,13 @@ def _features(parts: list[DataFrame], names: list[str]) -> DataFrame:
 
 
 def match_features(keys: DataFrame, features: DataFrame) -> DataFrame:
-    """Feature rows whose key occurs in the question; a phrase must occur as a whole.
-
-    A phrase of at least three characters starts with one of the question's
-    three-character pieces, so this equi-join finds every phrase contained in it.
-    """
-    whole = F.col("phrase").isNull() | F.col("q_text").contains(F.col("phrase"))
-    return keys.join(broadcast_if_small(features), "key").filter(whole)
+    """Feature rows whose key a question has."""
+    return keys.join(broadcast_if_small(features), "key")
 
 
 def overlap_scores(questions: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
     """(q_id, d_id, score): number of shared distinct tokens, for pairs that share one."""
-    keys = _question_keys(questions, tokens, with_grams=False)
+    keys = _question_keys(questions, tokens)
     features = _features([_token_features(documents, tokens(F.col("text")), hits=1)], ["hits"])
     return (
         match_features(keys, features).groupBy("q_id", "d_id").agg(F.sum("hits").cast("bigint").alias("score"))
@@ -188,8 +193,9 @@ def phrase_hits(questions: DataFrame, documents: DataFrame, min_chars: int = 3)
         .groupBy("d_id", "phrase")
         .agg(F.count(F.lit(1)).cast("int").alias("n"))
     )
-    keys = _question_keys(questions, None)
-    return match_features(keys, _features([phrases], ["n"])).select("q_id", "d_id", "phrase", "n")
+    keys = _question_keys(questions, None, phrases)
+    found = match_features(keys, _features([phrases], ["n"]))
+    return found.select("q_id", "d_id", F.substr("key", F.lit(len(PHRASE_MARK) + 1)).alias("phrase"), "n")
 
 
 def hybrid_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
@@ -213,7 +219,7 @@ def hybrid_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
         ],
         ["terms", "values", "phrases"],
     )
-    keys = _question_keys(questions, words_wide, two_words=F.size(words_wide(text)) >= 2)
+    keys = _question_keys(questions, words_wide, phrases, two_words=F.size(words_wide(text)) >= 2)
     total = {n: F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in ("terms", "values", "phrases")}
     linked = broadcast_if_small(documents.select("d_id", F.lower("text").contains("foreign keys:").alias("has_links")))
     bonus = (F.col("has_links") & F.col("two_words")).cast("bigint")
@@ -259,7 +265,7 @@ def router_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
         ["terms", "values", "table_name"],
     )
     related = F.arrays_overlap(words_wide(text), F.array(*[F.lit(w) for w in RELATION_WORDS]))
-    keys = _question_keys(questions, words_wide, related=related)
+    keys = _question_keys(questions, words_wide, phrases, related=related)
     total = {n: F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in ("terms", "values")}
     # A database names at most a few hundred tables, so the set per pair stays small.
     table_count = F.least(F.size(F.collect_set("table_name")), F.lit(3)).cast("bigint")
@@ -404,88 +410,55 @@ def as_rankings(scored: DataFrame) -> DataFrame:
 # --- top-k over large collections ----------------------------------------------------
 
 
-def _in_slices(questions: DataFrame, run: Callable[[pd.DataFrame], DataFrame]) -> DataFrame:
-    """Run a batch of questions at once, or equal slices of it when it is too large.
-
-    Each slice is written before the next is read, so the driver holds one slice only.
-    """
-    total = questions.count()
-    slices = max(1, -(-total // QUESTION_SLICE))
-    if slices == 1:
-        return run(questions.toPandas())
-    part = F.pmod(F.xxhash64("q_id"), F.lit(slices * 2))
-    marked = materialise(questions.withColumn("__part", part))
-    done = [
-        materialise(run(marked.filter(F.col("__part") == n).drop("__part").toPandas()))
-        for n in range(slices * 2)
-    ]
-    return union_all(done)
-
-
-def _best_in_task(score: Callable[[pd.DataFrame], Iterator[tuple]], k: int, largest: bool):
-    """Keep the best ``k`` (value, d_id) per question while one task reads its rows.
-
-    ``score`` yields (question position, document ids, values) per batch. Equal values
-    prefer the smaller document id.
-    """
+def _asked(keys: Column, bonus: bool = False) -> Column:
+    """Keys as (key, factor, bonus), each with the factor 1."""
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(1).alias("factor"), F.lit(bonus).alias("bonus")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
-        for batch in batches:
-            for q, ids, found in score(batch):
-                signed = -found if largest else found
-                if len(ids) > k:
-                    limit = np.partition(signed, k - 1)[k - 1]
-                    kept = signed <= limit
-                    ids, signed = ids[kept], signed[kept]
-                rows = list(zip(signed.tolist(), ids.tolist()))
-                best[q] = heapq.nsmallest(k, best.get(q, []) + rows)
-        rows = [(q, d, -v if largest else v) for q, kept in best.items() for v, d in kept]
-        yield pd.DataFrame(rows, columns=["q_id", "d_id", "value"])
 
-    return run
+def overlap_top_k(questions: DataFrame, documents: DataFrame, k: int, tokens: Callable[[Column], Column], **sizes: int) -> DataFrame:
+    """(q_id, d_id, score, rank): the ``k`` documents sharing most distinct tokens, exact."""
+    asked = questions.select("q_id", _asked(tokens(F.col("text"))).alias("keys"))
+    one = lambda w: F.struct(w.alias("key"), F.lit(1).alias("weight"))
+    return top_scores(asked, documents.select("d_id", F.transform(tokens(F.col("text")), one).alias("keys")), k, **sizes)
 
 
-def _global_top(found: DataFrame, k: int, largest: bool) -> DataFrame:
-    value = F.desc("value") if largest else F.asc("value")
-    order = Window.partitionBy("q_id").orderBy(value, "d_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+LINKED = "lnk:"
 
 
-def overlap_top_k(questions: DataFrame, documents: DataFrame, k: int, tokens: Callable[[Column], Column]) -> DataFrame:
-    """(q_id, d_id, score, rank): the ``k`` documents sharing most distinct tokens, exact.
+def hybrid_top_k(questions: DataFrame, documents: DataFrame, k: int, **sizes: int) -> DataFrame:
+    """(q_id, d_id, score, rank): the ``k`` documents of the greatest ``hybrid_scores``, exact.
 
-    Tokens are cut by Spark; a task looks up each document token among the questions that
-    hold it and keeps its best ``k`` rows per question. No pair leaves a task otherwise, so
-    a token that occurs everywhere costs no shuffle.
+    Words weigh 1 as a schema term and 3 as a word of a sample value, contained values 20 each time they are there, and links
+    are a bonus for questions of two words.
     """
-    asked = questions.select("q_id", tokens(F.col("text")).alias("tokens"))
-
-    def run(batch: pd.DataFrame) -> DataFrame:
-        ids = batch["q_id"].tolist()
-        holders: dict[str, list[int]] = {}
-        for n, words in enumerate(batch["tokens"]):
-            for w in words:
-                holders.setdefault(w, []).append(n)
-        index = {w: np.array(q, dtype="int64") for w, q in holders.items()}
-
-        def score(rows: pd.DataFrame):
-            d_ids = rows["d_id"].to_numpy()
-            counts = np.zeros((len(ids), len(rows)), dtype="int32")
-            for at, words in enumerate(rows["tokens"]):
-                hits = [index[w] for w in words if w in index]
-                if hits:
-                    counts[:, at] = np.bincount(np.concatenate(hits), minlength=len(ids))
-            for n in np.flatnonzero(counts.any(axis=1)):
-                kept = counts[n] > 0
-                yield ids[n], d_ids[kept], counts[n][kept].astype("int64")
-
-        found = documents.select("d_id", tokens(F.col("text")).alias("tokens")).mapInPandas(
-            _best_in_task(score, k, largest=True), "q_id bigint, d_id bigint, value bigint"
-        )
-        return _global_top(found, k, largest=True)
-
-    return _in_slices(asked, run).withColumnRenamed("value", "score")
+    text = F.col("text")
+    values = F.filter(sample_phrases(text), lambda p: F.length(p) >= 3)
+    words = F.array_union(schema_terms(text), sample_terms(text))
+    in_terms, in_values = (F.col(c) for c in ("terms", "values"))
+    word = lambda w: F.struct(
+        F.concat(F.lit(TOKEN_MARK), w).alias("key"),
+        (F.array_contains(in_terms, w).cast("int") + 3 * F.array_contains(in_values, w).cast("int")).alias("weight"),
+    )
+    phrase = lambda p: F.struct(
+        F.concat(F.lit(PHRASE_MARK), p).alias("key"), (20 * F.size(F.filter("phrases", lambda o: o == p))).alias("weight")
+    )
+    links = F.when(
+        F.lower("text").contains("foreign keys:"), F.array(F.struct(F.lit(LINKED).alias("key"), F.lit(1).alias("weight")))
+    ).otherwise(F.array().cast("array<struct<key:string,weight:int>>"))
+    cut = documents.select(
+        "d_id", "text", words.alias("words"), schema_terms(text).alias("terms"), sample_terms(text).alias("values"), values.alias("phrases")
+    )
+    keys = F.concat(F.transform("words", word), F.transform(F.array_distinct("phrases"), phrase), links)
+    cut = materialise(cut.select("d_id", "phrases", keys.alias("keys")))
+    lowered = _lowered(questions)
+    inside = contained_phrases(lowered, cut.select(F.explode("phrases").alias("phrase")))
+    inside = inside.groupBy("q_id").agg(F.collect_list(F.concat(F.lit(PHRASE_MARK), "phrase")).alias("inside"))
+    none = F.array().cast("array<string>")
+    asked = lowered.withColumn("tokens", words_wide(F.col("q_text"))).join(inside, "q_id", "left")
+    plain = F.concat(_marked(F.col("tokens"), TOKEN_MARK), F.coalesce("inside", none))
+    bonus = F.when(F.size("tokens") >= 2, F.array(F.lit(LINKED))).otherwise(none)
+    asked = asked.select("q_id", F.concat(_asked(plain), _asked(bonus, True)).alias("keys"))
+    return top_scores(asked, cut.select("d_id", "keys"), k, **sizes)
 
 
 def rerank(candidates: DataFrame, scores: DataFrame | None = None) -> DataFrame:

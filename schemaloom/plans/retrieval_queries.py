@@ -16,7 +16,7 @@ from schemaloom.plans.inputs import (
     questions,
     schema_index,
 )
-from schemaloom.plans.registered import query
+from schemaloom.plans.registered import ORACLES, query
 from schemaloom.runtime import materialise
 
 WIDE, NARROW = "?,.!''\"():;_-", "?,.!''\"():;"
@@ -90,6 +90,16 @@ def overlap_top_documents(spark, sf_dir):
     return retrieval.overlap_top_k(asked, docs, TOP_DOCUMENTS, words_narrow)
 
 
+FIFTY = 50
+
+
+@query("r2c_overlap_top_50", ORACLES["r2b_overlap_top_documents"].replace(f"rank <= {TOP_DOCUMENTS}", f"rank <= {FIFTY}"))
+def overlap_top_50(spark, sf_dir):
+    asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), "text")
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("d_id"), "text")
+    return retrieval.overlap_top_k(asked, docs, FIFTY, words_narrow)
+
+
 def _terms_sql(left: bool) -> str:
     dashed = (
         "replace(split_part(line, ':', 1), '-', '')"
@@ -212,6 +222,19 @@ def hybrid_scores(spark, sf_dir):
     return retrieval.hybrid_scores(questions(spark, sf_dir), docs)
 
 
+@query(
+    "r6b_hybrid_top_tables",
+    sx.with_index(QUESTIONS_SQL, TABLE_SOURCE, _terms_sql(left=False), PHRASES_SQL, HYBRID_SQL)
+    + """ select q_id, d_id, score, cast(rank as int) as rank from (
+        select q_id, d_id, cast(score as bigint) as score, row_number() over (partition by q_id order by score desc, d_id) as rank
+        from (select *, terms + 3 * "values" + phrases + linked as score from hybrid_ where terms + "values" + phrases > 0))
+      where rank <= 5""",
+)
+def hybrid_top_tables(spark, sf_dir):
+    docs = schema_index(spark, sf_dir).documents.select(F.col("id").alias("d_id"), "text")
+    return retrieval.hybrid_top_k(questions(spark, sf_dir), docs, 5)
+
+
 RELATION_SQL = "['" + "', '".join(retrieval.RELATION_WORDS) + "']"
 ROUTER_SQL = f"""
 qt_ as (select q_id, lower(text) as text, {tokens_sql("text", WIDE)} as words from questions),

@@ -6,10 +6,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from schemaloom.functions.text import words_narrow
-from schemaloom.operators import nearest, retrieval, routing
+from schemaloom.operators import impact, nearest, retrieval, routing
 
 DOCS = {
     "a": "TABLE: student\nCOLUMNS:\n- id (INTEGER)\nFOREIGN KEYS:\n- city -> cities.id\nSAMPLE VALUES:\n- hobby: Mountain Climbing, Golf, golf",
@@ -84,7 +85,7 @@ def test_database_scores_find_runs_across_words(spark):
     assert got == {(1, "x"): 6, (2, "x"): 15}
 
 
-def test_overlap_top_k_matches_brute_force(spark, monkeypatch):
+def test_overlap_top_k_matches_brute_force(spark):
     rng = random.Random(1)
     vocabulary = [f"w{n}" for n in range(30)]
     # One word is in every document, another in a third of them.
@@ -99,14 +100,54 @@ def test_overlap_top_k_matches_brute_force(spark, monkeypatch):
     q = spark.createDataFrame(asked, "q_id bigint, text string")
     d = spark.createDataFrame(docs, "d_id bigint, text string").repartition(5)
 
-    def run():
-        found = retrieval.overlap_top_k(q, d, 7, words_narrow).select("q_id", "d_id", "score", "rank")
+    def run(**sizes):
+        found = retrieval.overlap_top_k(q, d, 7, words_narrow, **sizes).select("q_id", "d_id", "score", "rank")
         return sorted((tuple(r) for r in found.collect()), key=lambda r: (r[0], r[3]))
 
     assert run() == expected
-    # The same result when the questions are worked off in slices.
-    monkeypatch.setattr(retrieval, "QUESTION_SLICE", 4)
-    assert run() == expected
+    # The same result from many parts and blocks.
+    assert run(documents_at_once=40, questions_at_once=4) == expected
+
+
+def test_index_stops_early_without_loss():
+    rng = random.Random(4)
+    keys = [f"k{n}" for n in range(12)]
+    docs = {d: {key: rng.choice([1, 1, 2, 9, 30]) for key in rng.sample(keys, rng.randrange(0, 9))} for d in range(400)}
+    lists = [
+        pa.array([{"d_id": d, "weight": w[key]} for d, w in docs.items() if key in w], pa.struct([("d_id", pa.int64()), ("weight", pa.int64())]))
+        for key in keys
+    ]
+    index = impact.Index(keys, lists)
+    for n in range(200):
+        asked = [{"key": key, "factor": rng.choice([1, 3]), "bonus": rng.random() < 0.2} for key in rng.sample([*keys, "none"], 6)]
+        k = rng.choice([1, 5, 50])
+        scores = {}
+        for d, w in docs.items():
+            if any(a["key"] in w and not a["bonus"] for a in asked):
+                scores[d] = sum(a["factor"] * w.get(a["key"], 0) for a in asked)
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
+        ids, found = index.best(asked, k)
+        assert list(zip(ids.tolist(), found.tolist())) == best
+
+
+def test_hybrid_top_k_is_the_best_of_all_scores(spark):
+    asked, docs = frames(spark)
+    every = [tuple(r) for r in retrieval.hybrid_scores(asked, docs).select("q_id", "d_id", "score").collect()]
+    for k in (1, 2, 50):
+        got = {(r.q_id, r["rank"]): (r.d_id, r.score) for r in retrieval.hybrid_top_k(asked, docs, k, documents_at_once=1).collect()}
+        expected = {}
+        for q in QUESTIONS:
+            best = sorted(((d, s) for i, d, s in every if i == q), key=lambda x: (-x[1], x[0]))[:k]
+            expected |= {(q, n + 1): x for n, x in enumerate(best)}
+        assert got == expected
+
+
+def test_phrases_of_a_long_question(spark):
+    text = "blue river stone " * 60_000 + "the very end"
+    asked = spark.createDataFrame([(1, text), (2, "")], "q_id bigint, q_text string")
+    known = spark.createDataFrame([("river stone",), ("very end",), ("stone blue river",), ("absent",), ("er",)], "phrase string")
+    got = {tuple(r) for r in retrieval.contained_phrases(asked, known).collect()}
+    assert got == {(1, "river stone"), (1, "very end"), (1, "stone blue river")}
 
 
 def test_vector_top_k_matches_brute_force(spark):
