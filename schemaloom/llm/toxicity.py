@@ -25,7 +25,7 @@ LEAST = 5
 LEAST_SHARE = 0.01
 #: Its log odds ratio counts less so many standard errors, and must be so large a part of the clearest term's.
 ERRORS = 2.0
-LEAST_PART = 0.25
+LEAST_PART = 0.4
 #: Labelled rows, chosen by hash, on which label model and classifier are fitted; lexicon counts are over all.
 FIT_ROWS = 20_000
 ROUNDS = 25
