@@ -23,9 +23,9 @@ START = 5
 #: A term needs so many toxic training documents, in all and as a share.
 LEAST = 5
 LEAST_SHARE = 0.01
-#: Its log odds ratio counts less so many standard errors, and must be so large a part of the clearest term's.
+#: Its log odds ratio must exceed so many standard errors, and be so large a part of the clearest term's.
 ERRORS = 2.0
-LEAST_PART = 0.4
+LEAST_PART = 0.55
 #: Labelled rows, chosen by hash, on which label model and classifier are fitted; lexicon counts are over all.
 FIT_ROWS = 20_000
 ROUNDS = 25
@@ -90,7 +90,7 @@ def term_counts(training: DataFrame) -> DataFrame:
 
 
 def choose_lexicon(counts: DataFrame, n_toxic: int, n_clean: int, size: int = TERMS) -> list[str]:
-    """The ``size`` terms that tell most toxic documents, by toxic documents times what is sure of the log odds ratio.
+    """The ``size`` terms that tell most toxic documents, by toxic documents times log odds ratio.
 
     Terms far weaker than the clearest one are left out, however strong that is; where nothing tells the classes
     apart no term is chosen.
@@ -98,7 +98,7 @@ def choose_lexicon(counts: DataFrame, n_toxic: int, n_clean: int, size: int = TE
     odds = f"ln((n_toxic + 0.5) / {n_toxic + 1.0}) - ln((n - n_toxic + 0.5) / {n_clean + 1.0})"
     error = "sqrt(1 / (n_toxic + 0.5) + 1 / (n - n_toxic + 0.5))"
     known = counts.where(f"n_toxic >= {max(LEAST, LEAST_SHARE * n_toxic)}")
-    known = materialise(known.withColumn("odds", F.expr(f"{odds} - {ERRORS} * {error}")).where("odds > 0"))
+    known = materialise(known.withColumn("odds", F.expr(odds)).where(f"odds > {ERRORS} * {error}"))
     clearest = known.agg(F.max("odds")).first()[0] or 0.0
     strong = known.where(F.col("odds") >= LEAST_PART * clearest)
     top = strong.orderBy(F.desc(F.col("n_toxic") * F.col("odds")), "term").limit(size)
