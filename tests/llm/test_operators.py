@@ -439,7 +439,7 @@ def test_packing_round_trip(odd, odd_rows):
     assert together == Counter((x[0], len(x) - 1) for x in expected.elements())
 
 
-@pytest.mark.parametrize("text", ["", " ", "  a", " a", "a  b \n c ", "\n \n", "a \n", "x\n y", "don't  <|endoftext|> it's", "é\u00a0 b", "\x1f \x1f", "日本 語 🙂"])
+@pytest.mark.parametrize("text", ["", " ", "  a", " a", "a  b \n c ", "\n \n", "a \n", "x\n y", "don't  <|endoftext|> it's", "é\u00a0 b", "\x1f \x1f", "日本 語 🙂", "a" + "\n" * 9_999 + "b", "a" + "\t\n" * 200_000 + "b", "a" * 100_000])
 def test_tokens_like_the_library(text):
     bpe = ByteBpe(BYTE_BPE)
     assert bpe.encode(text).tolist() == Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids
