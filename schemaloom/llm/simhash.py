@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.llm.common import connected_components, with_fields
+from schemaloom.llm.common import connected_components, free_name, with_fields
 from schemaloom.runtime import materialise
 
 SHINGLE = 3
@@ -21,6 +21,8 @@ SEED = 42
 TILE = 4096
 #: Shingles whose bits are counted at once; a memory bound, not a limit on the text.
 COUNTED = 1 << 16
+#: Tiles of a key that go to one task together, with as many of another key.
+GROUP = 8
 ROWS = 256
 
 
@@ -99,7 +101,8 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     A fingerprint's key is the population counts of its four 16-bit words. Two fingerprints within the
     radius have keys within the radius (in sums of differences), so tile pairs further apart are
     skipped; all others are compared whole. There are at most 17**4 keys, which bounds what is
-    broadcast; keys with more than ``tile`` fingerprints are split into tiles by hash.
+    broadcast; keys with more than ``tile`` fingerprints are split into tiles by hash, and the pairs of
+    tiles of two keys are dealt by groups of ``GROUP`` tiles, so that no task gets all pairs of a key.
     """
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
     key = sum(c * 17**i for i, c in enumerate(counts))
@@ -108,20 +111,29 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     keyed = keyed.join(F.broadcast(sizes), "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     tiles = materialise(keyed.groupBy("key", "part").agg(F.collect_list("fp").alias("fps")))
 
-    steps = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius]
-    half = [d for d in steps if d > (0, 0, 0, 0)]
-    near = F.array(*[F.struct(*[F.lit(x).alias(f"d{i}") for i, x in enumerate(d)]) for d in half])
-    digits = [F.expr(f"cast(key / {17**i} as int) % 17") for i in range(4)]
-    moved = tiles.select("fps", *[d.alias(f"p{i}") for i, d in enumerate(digits)], F.explode(near).alias("d"))
-    for i in range(4):
-        moved = moved.withColumn(f"p{i}", F.col(f"p{i}") + F.col("d")[f"d{i}"]).where(f"p{i} between 0 and 16")
-    target = sum(F.col(f"p{i}") * 17**i for i in range(4)).cast("int")
-    moved = moved.select(target.alias("key"), F.col("fps").alias("a"))
-    moved = moved.join(F.broadcast(sizes.select("key")), "key", "left_semi")
-    apart = moved.join(tiles.select("key", F.col("fps").alias("b")), "key").select("a", "b", F.lit(False).alias("same"))
-    left = tiles.where("part >= 0").select("key", F.col("part").alias("p"), F.col("fps").alias("a"))
-    right = tiles.select("key", F.col("part").alias("q"), F.col("fps").alias("b"))
-    inside = left.join(right, "key").where("p <= q").select("a", "b", F.expr("p = q").alias("same"))
+    steps = [d for d in product(range(-radius, radius + 1), repeat=4) if d >= (0,) * 4 and sum(map(abs, d)) <= radius]
+
+    def meeting(sign: int, own: str, other: str) -> DataFrame:
+        """Each tile once for every group of tiles that it is compared with: of its own key and of the near ones."""
+        near = F.array(*[F.struct(*[F.lit(sign * x).alias(f"d{i}") for i, x in enumerate(d)]) for d in steps])
+        digits = [F.expr(f"cast(key / {17**i} as int) % 17").alias(f"p{i}") for i in range(4)]
+        moved = tiles.select("key", "part", "fps", *digits, F.explode(near).alias("d"))
+        for i in range(4):
+            moved = moved.withColumn(f"p{i}", F.col(f"p{i}") + F.col("d")[f"d{i}"]).where(f"p{i} between 0 and 16")
+        target = sum(F.col(f"p{i}") * 17**i for i in range(4)).cast("int")
+        moved = moved.withColumn("target", target).join(F.broadcast(sizes.toDF("target", "parts")), "target")
+        return moved.select(
+            F.col("key").alias(f"key_{own}"),
+            F.col("target").alias(f"key_{other}"),
+            F.expr(f"part div {GROUP}").alias(f"group_{own}"),
+            F.explode(F.expr(f"sequence(0l, (parts - 1) div {GROUP})")).alias(f"group_{other}"),
+            F.col("part").alias(f"part_{own}"),
+            F.col("fps").alias(own),
+        )
+
+    keys = ["key_a", "key_b", "group_a", "group_b"]
+    pairs = meeting(1, "a", "b").join(meeting(-1, "b", "a"), keys).where("key_a <> key_b or part_a <= part_b")
+    pairs = pairs.select("a", "b", F.expr("key_a = key_b and part_a = part_b").alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +147,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
             if u:
                 yield pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (u, v)], ["u", "v"])
 
-    return apart.union(inside).mapInArrow(run, "u long, v long")
+    return pairs.mapInArrow(run, "u long, v long")
 
 
 def components(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -161,3 +173,25 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, t
     lowest = lowest.groupBy("label").agg(F.min("low").alias("component_id"))
     named = materialise(labels.join(lowest, "label").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of ``docs`` of each group that links of fingerprints connect, all columns as they are.
+
+    The row with the smallest doc_id stays (of several texts of that id the one of the smallest hash); in a
+    group whose ids are all null one row stays. Texts without words (null, empty, white space) have
+    fingerprint 0 and are copies of each other. Of repeated rows one stays. An id that stands on texts of
+    several groups may stay with each of them. No rows in, no rows out.
+    """
+    own = free_name(docs, "text_key")
+    marked = fingerprints(docs.select("doc_id", "text"), "fp", shingle)
+    prints = materialise(marked.select("doc_id", F.xxhash64("text").alias("own"), "fp"))
+    labels = components(prints, radius, tile)
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "own")
+    lowest = prints.groupBy("fp").agg(F.min(row).alias("low")).join(labels, "fp")
+    lowest = lowest.groupBy("label").agg(F.min("low").alias("low"))
+    kept = materialise(lowest.select(F.col("low.doc_id").alias("kept_id"), F.col("low.own").alias("kept_text")))
+    once = docs.withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own])
+    kept = kept.toDF(free_name(once, "kept_id"), free_name(once, "kept_text"))
+    stays = F.col("doc_id").eqNullSafe(F.col(kept.columns[0])) & (F.col(own) == F.col(kept.columns[1]))
+    return once.join(kept, stays, "left_semi").drop(own)
