@@ -41,3 +41,8 @@ def odd(spark, odd_rows):
 @pytest.fixture(scope="session")
 def none(odd):
     return odd.where("false")
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    return "/root/testdata/sf0.01"

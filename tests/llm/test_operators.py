@@ -23,7 +23,6 @@ from schemaloom.llm import (
     decontamination,
     line_dedup,
     lm_scoring,
-    near_copies,
     packing,
     quality_rules,
     simhash,
@@ -141,69 +140,36 @@ def test_components_of_chains_and_stars(spark):
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
 
 
-def five_word_sets(text):
-    w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
-
-
-def brute_near_groups(rows):
-    sets = [five_word_sets(r[1]) for r in rows]
-    near = [
-        (i, j)
-        for i, j in combinations(range(len(sets)), 2)
-        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
-    ]
-    return brute_components([r[0] for r in rows], near)
-
-
 @pytest.mark.parametrize("tile", [2, 4096])
-def test_one_of_each_group_stays(odd, odd_rows, tile):
-    kept = near_copies.drop_near_copies(odd, tile=tile)
+def test_one_of_each_group_stays(odd, odd_rows, tile, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 2)
+    prints = [brute_fingerprint(r[1]) for r in odd_rows]
+    linked = [(i, j) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    low = brute_components([r[0] for r in odd_rows], linked)
+    kept = simhash.drop_near_copies(odd, tile=tile)
     assert kept.columns == odd.columns
-    expected = {x for x in brute_near_groups(odd_rows) if x is not None}
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(expected)
-    assert {70, 3} <= expected and not {51, 71, 72} & expected
-
-
-def edited(rng, words, n):
-    words = list(words)
-    for _ in range(n):
-        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
-    return words
+    rows = rows_of(kept, "doc_id", "text")
+    assert sorted(r[0] for r in rows if r[0] is not None) == sorted({c for c in low if c is not None})
+    assert len([r for r in rows if r[0] is None]) == len([c for c in set(low) if c is None])
+    assert set(rows) <= {(r[0], r[1]) for r in odd_rows}
 
 
-@pytest.mark.parametrize("tile", [3, 4096])
-def test_near_copies_of_every_length(spark, tile, monkeypatch):
-    monkeypatch.setattr(near_copies, "TILE_SHINGLES", 700 if tile == 3 else 1 << 20)
-    rng = random.Random(11)
-    rows = []
-    for n in [1, 2, 4, 5, 6, 7, 8, 9, 10, 12, 14, 20, 30, 50, 70, 100, 300, 900] * 3:
-        base = [f"w{rng.randrange(10**5)}" for _ in range(n)]
-        texts = [base, base[1:], base[:-1], base + ["more"], base + ["X", "y"], edited(rng, base, 1), edited(rng, base, max(n // 40, 1))]
-        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
-    chain = [f"c{i}" for i in range(400)]
-    rows += [(len(rows) + i, " ".join(chain[20 * i : 20 * i + 200])) for i in range(10)]
-    rng.shuffle(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    kept = sorted(r.doc_id for r in near_copies.drop_near_copies(docs, tile=tile).collect())
-    assert kept == sorted(set(brute_near_groups(rows)))
-
-
-def test_unrelated_texts_of_one_id_stay(spark):
-    rng = random.Random(3)
-    a, b, c, d = ([rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(200)] for _ in range(4))
-    near = [*a[:-1], "end"]
-    rows = [(1, a), (2, near), (2, b), (3, c), (3, d), (3, d), (None, d)]
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
-    kept = sorted((r.doc_id, r.text) for r in near_copies.drop_near_copies(docs).collect())
-    assert kept == sorted((i, " ".join(w)) for i, w in [(1, a), (2, b), (3, c), (3, d)])
+def test_copies_without_ids_and_ids_with_two_texts(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(rng.choice("abcdefghij") * 3 for _ in range(40)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (1, b), (2, c), (2, d), (3, d), (2, c), (4, None), (None, ""), (5, " ")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(kept, "doc_id", "text") == sorted([(None, a), (1, b), (2, c), (2, d), (4, None)], key=repr)
 
 
-def test_near_copies_without_ids(spark):
-    text = " ".join(f"w{i}" for i in range(60))
-    rows = [(None, text), (None, text + " end"), (None, text.upper()), (None, None), (None, ""), (5, "other words")]
-    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.text or "")[:5].lower() for r in kept) == ["", "other", "w0 w1"]
+def test_a_population_key_of_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 2)
+    rng = random.Random(8)
+    words = [sum(1 << b for b in rng.sample(range(16), 8)) for _ in range(40)]
+    prints = sorted({rng.choice(words) | rng.choice(words) << 16 | 0xFF00FF << 32 for _ in range(400)})
+    linked = [(i, j) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    frame = spark.createDataFrame([(x,) for x in prints], "fp long")
+    assert dict(simhash.components(frame, tile=16).collect()) == dict(zip(prints, brute_components(prints, linked)))
 
 
 # 3 url filters
@@ -681,7 +647,7 @@ def test_empty_tables(spark, none):
     frames = [
         quality_rules.judge(none),
         simhash.near_groups(none),
-        near_copies.drop_near_copies(none),
+        simhash.drop_near_copies(none),
         url_filters.judge_urls(pages),
         toxicity.judge(none, labels),
         line_dedup.drop_boilerplate(none),
@@ -701,3 +667,56 @@ def test_no_items(spark, odd, odd_rows):
 
 def test_vocabularies_are_found():
     assert public_tokenizers.path("byte_bpe_50k.json") == BYTE_BPE
+
+
+# the pipeline
+
+
+@pytest.fixture(scope="session")
+def steps(spark, sf_dir):
+    """The input and the rows of each stage, written as the pipeline writes them."""
+    docs = corpus_pipeline.table(spark, sf_dir, "documents")
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(corpus_pipeline.materialise(stage(spark, out[-1], sf_dir)))
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, sf_dir, steps):
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "packing"]
+    docs, calm, cut, single, clean, packed = steps
+    assert all(set(f.columns) == set(docs.columns) for f in (calm, cut, single, clean))
+    labels = dict(corpus_pipeline.table(spark, sf_dir, "labels").select("doc_id", "toxic").collect())
+    toxic, plain = ({i for i, x in labels.items() if x == label} for label in (1, 0))
+    every, left = ({r.doc_id for r in f.select("doc_id").collect()} for f in (docs, calm))
+    assert every & plain <= left
+    assert len((every - left) & toxic) >= 0.6 * len(every & toxic)
+    assert {r.doc_id for r in cut.collect()} == left
+
+    rows = cut.select("doc_id", "text").collect()
+    prints = [brute_fingerprint(r.text) for r in rows]
+    linked = [(i, j) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    low = brute_components([r.doc_id for r in rows], linked)
+    texts = {r.doc_id: r.text for r in rows}
+    assert rows_of(single, "doc_id", "text") == sorted(((i, texts[i]) for i in set(low)), key=repr)
+
+    items = [words(r.text.lower()) for r in corpus_pipeline.table(spark, sf_dir, "benchmark").collect()]
+    whole = {r.doc_id: f" {' '.join(words((r.text or '').lower()))} " for r in single.collect()}
+    leaked = {i for i, t in whole.items() if any(x and f" {' '.join(x)} " in t for x in items)}
+    assert not leaked & {r.doc_id for r in clean.collect()}
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    expected = {r.doc_id: [*library.encode(r.text or "", add_special_tokens=False).ids, 1] for r in clean.collect()}
+    found = defaultdict(dict)
+    for r in packed.collect():
+        found[r.doc_id][r.start] = np.frombuffer(r.ids, "<u4").tolist()
+    assert {i: sum((p[at] for at in sorted(p)), []) for i, p in found.items()} == expected
+
+
+def test_pipeline_copes_with_odd_rows(spark, sf_dir, odd, none):
+    for docs in (odd, none):
+        for _, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.materialise(stage(spark, docs, sf_dir))
+        assert (docs.count() > 0) == (docs.where("doc_id is not null").count() > 0)
+    assert docs.count() == 0
