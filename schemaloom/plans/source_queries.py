@@ -14,7 +14,7 @@ from schemaloom.operators.documents import row_counts
 from schemaloom.plans.inputs import TABLES, Table, filled, filled_sql, load
 from schemaloom.plans.registered import query
 from schemaloom.runtime import scratch_path
-from schemaloom.sources import readers, store
+from schemaloom.sources import readers, snapshots, store
 
 
 @query(
@@ -293,6 +293,55 @@ def replace_database(spark, sf_dir):
     )
 
 
+def _failing(rows, column):
+    """The same rows, of which one per thousand cannot be computed."""
+    broken = F.raise_error(F.lit("broken row")).cast("string")
+    return rows.withColumn(column, F.when(F.col("id") % 1000 == 7, broken).otherwise(F.concat(F.lit("new "), column)))
+
+
+def _must_fail(rows, path, key=None):
+    try:
+        snapshots.commit(rows, path, key)
+    except Exception as error:
+        if "broken row" not in str(error):
+            raise
+    else:
+        raise AssertionError("The write was expected to fail.")
+
+
+@query(
+    "s13b_failed_replace",
+    "select source as database, count(*) as n, cast(sum(length(text)) as bigint) as chars from documents group by 1",
+)
+def failed_replace(spark, sf_dir):
+    """A write that fails half-way leaves the table as it was."""
+    path, documents = scratch_path(spark, "snapshot"), _documents(spark, sf_dir)
+    snapshots.commit(documents, path)
+    _must_fail(_failing(documents, "text"), path)
+    counts = [F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")]
+    return snapshots.current(spark, path).groupBy("database").agg(*counts)
+
+
+@query(
+    "s16b_failed_database",
+    """select database, count(*) as n, cast(sum(length(text)) as bigint) as chars from (
+        select source as database, text from documents where source <> 'src1'
+        union all select source, 'new ' || text from documents where source = 'src1' and lang = 'en') group by 1""",
+)
+def failed_database(spark, sf_dir):
+    """One database is replaced; then a write of all databases fails and changes none."""
+    path, documents = scratch_path(spark, "snapshot"), _documents(spark, sf_dir)
+    snapshots.commit(documents, path, "database")
+    english = load(spark, sf_dir, "documents").filter("source = 'src1' and lang = 'en'")
+    fresh = english.select(
+        F.col("source").alias("database"), F.col("doc_id").alias("id"), F.concat(F.lit("new "), "text").alias("text")
+    )
+    snapshots.commit(fresh, path, "database")
+    _must_fail(_failing(documents, "text"), path, "database")
+    counts = [F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")]
+    return snapshots.current(spark, path).groupBy("database").agg(*counts)
+
+
 @query(
     "s17_upsert",
     """select doc_id as id, source as database, md5(text) as text from documents where doc_id not in (select doc_id from labels)

@@ -68,6 +68,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/schemaloom-{name}-{uuid.uuid4().hex}"
 
 
+def free_column(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; stops counting beyond the bound."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from schemaloom.operators import evaluation, guarded, history, registry
-from schemaloom.sources import store
+from schemaloom.sources import snapshots, store
 
 
 def rows(spark, data):
@@ -210,3 +211,36 @@ def test_numbering_over_ranges(spark):
     for found in by_query.values():
         assert [p for _, p in sorted(found)] == list(range(1, len(found) + 1))
     assert len(got) == 3000
+
+
+def test_snapshots_change_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        snapshots.current(spark, path)
+    schema = "database string, folder string, n int"
+    first = spark.createDataFrame([("a/b", "x", 1), ("01", "y", 2), (None, "z", 3), ("", "w", 4)], schema)
+
+    def held():
+        return sorted(map(tuple, snapshots.current(spark, path).collect()), key=repr)
+
+    snapshots.commit(first, path, "database")
+    before = held()
+    assert before == sorted(map(tuple, first.collect()), key=repr)
+    bad = first.withColumn("n", F.when(F.col("n") == 2, F.raise_error(F.lit("broken")).cast("int")).otherwise(F.lit(9)))
+    with pytest.raises(Exception, match="broken"):
+        snapshots.commit(bad, path, "database")
+    assert held() == before
+    open_reader = snapshots.current(spark, path)
+    snapshots.commit(spark.createDataFrame([("01", "new", 5), ("01", "new", 5)], schema), path, "database")
+    assert held() == sorted([r for r in before if r[0] != "01"] + [("01", "new", 5)] * 2, key=repr)
+    assert open_reader.count() == 4 and snapshots.drop_old(spark, path) == 0
+    snapshots.commit(first.where("false"), path, "database")
+    assert len(held()) == 5
+    snapshots.commit(spark.createDataFrame([("", "v", 6)], schema), path, "database")
+    assert ("", "v", 6) in held() and (None, "z", 3) in held() and len(held()) == 5
+    with pytest.raises(ValueError):
+        snapshots.commit(spark.range(2), path, "id")
+    snapshots.commit(spark.range(2), path)
+    assert held() == [(0,), (1,)] and snapshots.drop_old(spark, path) >= 2
+    snapshots.commit(spark.range(0), path)
+    assert held() == []
