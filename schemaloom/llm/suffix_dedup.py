@@ -28,6 +28,13 @@ CHUNK = 1 << 17
 STRETCH = 256
 #: Bytes of stretches that make a shard, so few that its arrays stay near the processor; a single anchor may have more.
 SHARD = 1 << 21
+#: Bytes of texts whose anchors make a bucket; the anchors of a bucket that only one text has are held by its task.
+BUCKET = 1 << 22
+#: Rows that are dealt to buckets, or looked through for shared anchors, at once.
+FOLD = 1 << 19
+#: Stretches in one packed row, so few that a batch of packed rows stays small.
+PACKED = 1 << 9
+ROW = np.dtype([("anchor", "<i8"), ("t", "<i8"), ("at", "<i4"), ("windows", "<i4")])
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,8 +113,21 @@ def by_chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, texts[start:]
 
 
-def anchor_rows(identified: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, t, at, windows) of the stretches of each text; a text that a batch repeats counts once."""
+def anchor_rows(identified: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
+    """(bucket, rows): the stretches of each text as packed rows of ``ROW``, dealt to buckets by their anchor; a text
+    that a batch repeats counts once."""
+
+    def packed(rows: np.ndarray) -> pa.RecordBatch:
+        bucket = (rows["anchor"].view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], rows[order]
+        place = np.arange(len(rows))
+        begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        inside = place - np.repeat(begin, np.diff(np.append(begin, len(rows))))
+        cut = np.flatnonzero(inside % PACKED == 0)
+        ends = pa.py_buffer((np.append(cut, len(rows)) * ROW.itemsize).astype(np.int32))
+        blobs = pa.Array.from_buffers(pa.binary(), len(cut), [None, ends, pa.py_buffer(rows.tobytes())])
+        return pa.record_batch([pa.array(bucket[cut].astype(np.int32)), blobs], ["bucket", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,52 +135,66 @@ def anchor_rows(identified: DataFrame, length: int, gram: int) -> DataFrame:
             first.sort()
             texts = [t.encode() for t in batch["text"].take(pa.array(first)).to_pylist()]
             keys = batch["t"].to_numpy(zero_copy_only=False)[first]
+            held, size = [], 0
             for start, part in by_chunks(texts):
                 doc, at, windows, anchor = stretches(part, length, gram)
-                rows = [anchor, keys[start + doc], at.astype(np.int32), windows.astype(np.int32)]
-                yield pa.record_batch([pa.array(x) for x in rows], ["anchor", "t", "at", "windows"])
+                rows = np.empty(len(doc), ROW)
+                rows["anchor"], rows["t"], rows["at"], rows["windows"] = anchor, keys[start + doc], at, windows
+                held.append(rows)
+                size += len(rows)
+                if size >= FOLD:
+                    yield packed(np.concatenate(held))
+                    held, size = [], 0
+            if size:
+                yield packed(np.concatenate(held))
 
-    return identified.select("t", "text").mapInArrow(run, "anchor long, t long, at int, windows int")
+    return identified.select("t", "text").mapInArrow(run, "bucket int, rows binary")
 
 
-def shared_anchors(rows: DataFrame) -> DataFrame:
-    """The rows whose anchor at least two texts have.
+def shared_anchors(packed: DataFrame, fold: int) -> DataFrame:
+    """(anchor, t, at, windows) of the stretches whose anchor at least two texts have.
 
-    Rows arrive sorted by anchor and text; of the anchor at hand only its first text's rows are held
-    until a second text is met, so a hot anchor streams by.
+    Packed rows arrive sorted by bucket. Of a bucket only the rows of anchors that one text alone has so far are
+    held, besides ``fold`` rows or as many as are held; once a second text is met, an anchor's rows go on, so a
+    hot anchor streams by.
     """
 
+    def settle(rows: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows to go on, rows still of one text, and all anchors known to be shared."""
+        rows = rows[np.argsort(rows["anchor"])]
+        anchor = rows["anchor"]
+        begin = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        each = anchor[begin]
+        mixed = np.minimum.reduceat(rows["t"], begin) != np.maximum.reduceat(rows["t"], begin)
+        if len(shared):
+            mixed |= shared[np.minimum(np.searchsorted(shared, each), len(shared) - 1)] == each
+        go = np.repeat(mixed, np.diff(np.append(begin, len(rows))))
+        return rows[go], rows[~go], np.union1d(shared, each[mixed])
+
+    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.ascontiguousarray(rows[n])) for n in ROW.names], list(ROW.names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the last anchor, as yet of one text
-        anchor = text = None
+        now, single, shared = None, np.empty(0, ROW), np.empty(0, np.int64)
+        parts: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a = batch["anchor"].to_numpy(zero_copy_only=False)
-            t = batch["t"].to_numpy(zero_copy_only=False)
-            start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            stop = np.append(start[1:], len(a))
-            mixed = np.logical_or.reduceat(np.append(False, (t[1:] != t[:-1]) & (a[1:] == a[:-1])), start)
-            goes_on = anchor is not None and a[0] == anchor
-            if goes_on and (text is None or t[0] != text):
-                mixed[0] = True
-            if held and goes_on and mixed[0]:
-                yield from held
-            if held and (not goes_on or mixed[0] or len(start) > 1):
-                held = []
-            chosen = np.repeat(mixed, stop - start)
-            if chosen.any():
-                yield batch.filter(pa.array(chosen))
-            if mixed[-1]:
-                text = None
-            else:
-                tail = batch.slice(start[-1])
-                if text != t[-1] or anchor != a[-1]:
-                    text = t[-1]
-                held.append(tail)
-            anchor = a[-1]
+            for bucket, blob in zip(batch["bucket"].to_pylist(), batch["rows"]):
+                if parts and (bucket != now or size >= max(fold, len(single))):
+                    go, single, shared = settle(np.concatenate([single, *parts]), shared)
+                    parts, size = [], 0
+                    if len(go):
+                        yield batch_of(go)
+                if bucket != now:
+                    now, single, shared = bucket, np.empty(0, ROW), np.empty(0, np.int64)
+                parts.append(np.frombuffer(blob.as_buffer(), ROW))
+                size += len(parts[-1])
+        if parts:
+            go, _, _ = settle(np.concatenate([single, *parts]), shared)
+            if len(go):
+                yield batch_of(go)
 
-    return rows.mapInArrow(run, rows.schema)
+    return packed.mapInArrow(run, "anchor long, t long, at int, windows int")
 
 
 def cut_stretches(spans: DataFrame, length: int) -> DataFrame:
@@ -290,7 +324,9 @@ def cut_out(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start: int, end: int>>")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, bucket: int = BUCKET, fold: int = FOLD
+) -> DataFrame:
     """(doc_id, n_bytes, kept, spans) of each row of ``docs(doc_id, text)``.
 
     Each byte covered by a string of ``length`` bytes that also starts in a document with a smaller
@@ -306,8 +342,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     ids = materialise(long.select("doc_id", "t", "t2", F.octet_length("text").alias("n")).distinct())
     owners = ids.groupBy("t", "t2").agg(F.min("doc_id").alias("first"))
 
-    rows = anchor_rows(long, length, gram).repartition("anchor").sortWithinPartitions("anchor", "t")
-    spans = shared_anchors(rows).groupBy("t").agg(F.collect_list(F.struct("anchor", "at", "windows")).alias("spans"))
+    buckets = (ids.agg(F.sum("n")).first()[0] or 0) // bucket + 1
+    rows = anchor_rows(long, length, gram, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    spans = shared_anchors(rows, fold).groupBy("t").agg(F.collect_list(F.struct("anchor", "at", "windows")).alias("spans"))
     spans = materialise(spans.join(owners, "t").select(F.col("first").alias("doc_id"), "t", "spans"))
     found = materialise(cut_stretches(long.select("doc_id", "t", "text").join(spans, ["doc_id", "t"]), length))
     strings = found.groupBy("anchor", "bytes").agg(F.min("doc_id").alias("first"))

@@ -449,9 +449,9 @@ def brute_repeats(rows, n=50):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("shard", [1, 5_000, 1 << 23])
-def test_suffix_dedup(odd, odd_rows, shard):
-    found = suffix_dedup.remove_repeats(odd, shard=shard).select(
+@pytest.mark.parametrize("shard, bucket, fold", [(1, 1 << 22, 1), (5_000, 300, 7), (1 << 23, 1 << 12, 1 << 19)])
+def test_suffix_dedup(odd, odd_rows, shard, bucket, fold):
+    found = suffix_dedup.remove_repeats(odd.repartition(6), shard=shard, bucket=bucket, fold=fold).select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("r"), F.size("spans").alias("n"), F.sha2("kept", 256).alias("s")
     )
     expected = brute_repeats(odd_rows)
