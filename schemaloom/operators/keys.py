@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,10 @@ from schemaloom.runtime import small_frame
 
 MIN_INCLUDED = 0.9
 KEY_SEARCH_COLUMNS = 3
+#: log2 of the registers of a column's sketch; its estimate has a standard error of 1.6 %.
+SKETCH_BITS = 12
+#: A column is ruled out by its sketch below this share of distinct values, over thirty standard errors from unique.
+HOPELESS = 0.5
 
 
 def compatible(left_type: Column, right_type: Column) -> Column:
@@ -55,6 +60,75 @@ def uniqueness(tables: list[Table], columns: dict[tuple[str, str], list[str]]) -
     return profile.join(F.broadcast(named), "col_no").drop("col_no").withColumn("is_unique", unique)
 
 
+Names = dict[tuple[str, str], list[str]]
+
+
+def distinct_estimates(tables: list[Table], columns: Names) -> DataFrame:
+    """(database, table, column, rows, non_null, estimate): one scan per table, one row per column out of it.
+
+    The estimate comes from HyperLogLog sketches, so a task holds a fixed number of registers per column and
+    nothing of the values is shuffled.
+    """
+    parts = []
+    for t in tables:
+        found = []
+        for c in columns.get((t.database, t.name), []):
+            value = F.col(f"`{c}`").cast("string")
+            names = [F.lit(x).alias(n) for x, n in ((t.database, "database"), (t.name, "table"), (c, "column"))]
+            counts = [F.count(F.lit(1)).alias("rows"), F.count(value).alias("non_null")]
+            estimate = F.hll_sketch_estimate(F.hll_sketch_agg(value, SKETCH_BITS))
+            found.append(F.struct(*names, *counts, F.coalesce(estimate, F.lit(0)).alias("estimate")))
+        if found:
+            parts.append(t.frame.agg(F.array(*found).alias("found")).select(F.inline("found")))
+    return union_all(parts)
+
+
+def unique_columns(
+    tables: list[Table], columns: Names, hashed: Callable[[Column], Column] = F.xxhash64
+) -> set[tuple[str, str, str]]:
+    """(database, table, column) of the named columns that have rows, no nulls and no value twice.
+
+    Sketches rule out most columns in the scan. What is left is shuffled as two 64-bit hashes: a first hash that
+    occurs once is one value, one that occurs again with the same second hash is a value that repeats. A column
+    without repeats in which different values share a first hash is counted by its values. The result is as small
+    as the catalogue.
+    """
+    if not any(columns.get((t.database, t.name)) for t in tables):
+        return set()
+    likely = distinct_estimates(tables, columns).where(
+        (F.col("rows") > 0) & (F.col("non_null") == F.col("rows")) & (F.col("estimate") >= HOPELESS * F.col("rows"))
+    )
+    likely = {tuple(r) for r in likely.select("database", "table", "column").collect()}
+    parts, names = [], []
+    for t in tables:
+        pairs = []
+        for c in columns.get((t.database, t.name), []):
+            if (t.database, t.name, c) in likely:
+                value = F.col(f"`{c}`").cast("string")
+                second = F.xxhash64(value, F.lit("second"))
+                number = F.lit(len(names)).alias("col_no")
+                pairs.append(F.struct(number, hashed(value).alias("first"), second.alias("second")))
+                names.append((t.database, t.name, c))
+        if pairs:
+            parts.append(t.frame.select(F.inline(F.array(*pairs))))
+    if not names:
+        return set()
+    each = union_all(parts).groupBy("col_no", "first").agg(
+        F.count(F.lit(1)).alias("n"), F.min("second").alias("low"), F.max("second").alias("high")
+    )
+    again, alike = F.col("n") > 1, F.col("low") == F.col("high")
+    verdicts = each.groupBy("col_no").agg(F.max(again & alike).alias("twice"), F.max(again & ~alike).alias("mixed"))
+    rows = verdicts.where("not twice").collect()
+    found = {names[r.col_no] for r in rows if not r.mixed}
+    unclear: Names = {}
+    for database, table, column in (names[r.col_no] for r in rows if r.mixed):
+        unclear.setdefault((database, table), []).append(column)
+    if unclear:
+        proven = uniqueness(tables, unclear).where("is_unique").select("database", "table", "column")
+        found |= {tuple(r) for r in proven.collect()}
+    return found
+
+
 def looks_like_key(table: str, column: str) -> bool:
     name, stem = column.lower(), table.lower().rstrip("s")
     return name.endswith("id") and (name == "id" or name.endswith("_id") or name.startswith(stem))
@@ -69,12 +143,20 @@ def key_columns_to_test(tables: list[Table]) -> dict[tuple[str, str], list[str]]
     return found
 
 
-def primary_keys(tables: list[Table], columns: DataFrame) -> DataFrame:
-    """(database, table, column): first key-like column that is unique and never null."""
-    profile = uniqueness(tables, key_columns_to_test(tables)).filter("is_unique and rows > 0")
+def primary_keys(
+    tables: list[Table], columns: DataFrame, unique: set[tuple[str, str, str]] | None = None
+) -> DataFrame:
+    """(database, table, column): first key-like column that is unique and never null.
+
+    ``unique`` gives what is known of the columns of ``columns_to_prove``, so that they are not read again.
+    """
+    wanted = key_columns_to_test(tables)
+    unique = unique_columns(tables, wanted) if unique is None else unique
+    named = [(*t, c) for t, names in wanted.items() for c in names if (*t, c) in unique]
     order = Window.partitionBy("database", "table").orderBy("column_no")
     return (
-        profile.join(F.broadcast(columns), ["database", "table", "column"])
+        small_frame(columns.sparkSession, named, "database string, table string, column string")
+        .join(columns, ["database", "table", "column"])
         .withColumn("rn", F.row_number().over(order))
         .filter("rn = 1")
         .select("database", "table", "column")
@@ -205,21 +287,33 @@ LINK_SCHEMA = (
 )
 
 
-def unique_parents(tables: list[Table], candidates: list[Candidate]) -> set[tuple[str, str, str]]:
-    """Names of the parent columns that are unique; as small as the catalogue."""
-    wanted: dict[tuple[str, str], list[str]] = {}
+def parent_columns(candidates: list[Candidate]) -> Names:
+    wanted: Names = {}
     for c in candidates:
         names = wanted.setdefault((c.parent.database, c.parent.name), [])
         if c.ref_column not in names:
             names.append(c.ref_column)
-    if not wanted:
-        return set()
-    kept = uniqueness(tables, wanted).filter("is_unique and rows > 0")
-    return {tuple(r) for r in kept.select("database", "table", "column").collect()}
+    return wanted
+
+
+def columns_to_prove(tables: list[Table], declared: set[tuple[str, str]] = frozenset()) -> Names:
+    """All columns whose uniqueness keys and links ask for; decided on metadata."""
+    wanted = parent_columns(link_candidates(tables, declared))
+    for table, names in key_columns_to_test(tables).items():
+        wanted[table] = list(dict.fromkeys(wanted.get(table, []) + names))
+    return wanted
+
+
+def unique_parents(tables: list[Table], candidates: list[Candidate]) -> set[tuple[str, str, str]]:
+    """Names of the parent columns that are unique; as small as the catalogue."""
+    return unique_columns(tables, parent_columns(candidates))
 
 
 def infer_links(
-    tables: list[Table], declared: set[tuple[str, str]] = frozenset(), skip_child_keys: bool = False
+    tables: list[Table],
+    declared: set[tuple[str, str]] = frozenset(),
+    skip_child_keys: bool = False,
+    unique: set[tuple[str, str, str]] | None = None,
 ) -> DataFrame:
     """Best verified link per child column: unique parent, at least 90 % of values found.
 
@@ -227,7 +321,7 @@ def infer_links(
     parent columns, and only for the survivors the scan of the child columns.
     """
     candidates = link_candidates(tables, declared, skip_child_keys)
-    unique = unique_parents(tables, candidates)
+    unique = unique_parents(tables, candidates) if unique is None else unique
     candidates = [c for c in candidates if (c.parent.database, c.parent.name, c.ref_column) in unique]
     spark = tables[0].frame.sparkSession
     pairs = small_frame(

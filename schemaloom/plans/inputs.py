@@ -74,8 +74,9 @@ class SchemaIndex:
         self.tables = tables(spark, sf_dir)
         self.columns = materialise(columns_frame(spark, self.tables))
         self.types = materialise(infer_types(self.tables))
-        self.keys = materialise(keys.primary_keys(self.tables, self.columns))
-        self.links = materialise(keys.infer_links(self.tables))
+        unique = keys.unique_columns(self.tables, keys.columns_to_prove(self.tables))
+        self.keys = materialise(keys.primary_keys(self.tables, self.columns, unique))
+        self.links = materialise(keys.infer_links(self.tables, unique=unique))
         self.samples = materialise(docs.shown_samples(docs.sample_values(self.tables)))
         parts = (self.columns, self.types, self.keys, self.links, self.samples)
         self.documents = materialise(docs.table_documents(*parts))

@@ -121,6 +121,28 @@ def test_duplicate_or_null_ids_are_no_keys(spark):
     assert [tuple(r) for r in pk.collect()] == [("d", "twice", "row_id")]
 
 
+@pytest.mark.parametrize("hashed", [F.xxhash64, F.length])
+def test_unique_columns_by_sketch_and_hash(spark, hashed):
+    """Whole values decide, also where hashes meet (here: all texts of one length)."""
+    numbers = spark.range(3000).select(
+        F.col("id").alias("own"),
+        F.when(F.col("id") == 7, 8).otherwise(F.col("id")).alias("one_twice"),
+        (F.col("id") % 9).alias("few"),
+        F.when(F.col("id") != 5, F.col("id")).alias("hole"),
+        F.concat(F.lit("a b"), "id").alias("text"),
+    )
+    small = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "p string, q string")
+    tables = [Table("d", "t", numbers), Table("d", "s", small), Table("d", "none", numbers.limit(0))]
+    wanted = {(t.database, t.name): list(t.frame.columns) for t in tables}
+    found = keys.unique_columns(tables, wanted, hashed)
+    assert found == {("d", "t", "own"), ("d", "t", "text"), ("d", "s", "p")}
+    exact = keys.uniqueness(tables, wanted).where("is_unique and rows > 0").select("database", "table", "column")
+    assert found == {tuple(r) for r in exact.collect()}
+    sketched = keys.distinct_estimates(tables, wanted).where("table = 't' and column = 'own'").first()
+    assert sketched.rows == 3000 and abs(sketched.estimate - 3000) < 300
+    assert keys.unique_columns(tables, {}) == set()
+
+
 def test_types_from_data(spark):
     frame = spark.sql(
         """select * from values (1.0D, 1.5D, timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-01 10:00:00',
