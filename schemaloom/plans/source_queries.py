@@ -35,15 +35,31 @@ def delimited_text(spark, sf_dir):
     "select unnest([',', ';', 'TAB', '|']) as written, unnest([',', ';', 'TAB', '|']) as found",
 )
 def delimiters(spark, sf_dir):
-    """Delimiter found in files of customers written with each of the four."""
-    found = None
+    """Delimiter found in every file of customers written with each of the four."""
+    parts = []
     for sep in readers.DELIMITERS:
         path = scratch_path(spark, "sep")
         load(spark, sf_dir, "customer").write.csv(path, header=True, sep=sep)
-        shown = ["TAB" if d == "\t" else d for d in (sep, readers.sniff_delimiter(spark, path))]
-        row = spark.range(1).select(F.lit(shown[0]).alias("written"), F.lit(shown[1]).alias("found"))
-        found = row if found is None else found.unionByName(row)
-    return found
+        found = readers.file_facts(spark, path).select(F.lit(sep).alias("written"), F.col("delimiter").alias("found"))
+        parts.append(found.distinct())
+    return union_all(parts).select(*[F.replace(c, F.lit("\t"), F.lit("TAB")).alias(c) for c in ("written", "found")])
+
+
+@query(
+    "s1b_mixed_folder",
+    """select o_orderkey, case when o_orderkey % 3 = 1 then 'Café ' || o_custkey else 'n ' || o_custkey end as who,
+         o_totalprice, case when o_orderkey % 3 < 2 then o_orderpriority end as o_orderpriority from orders""",
+)
+def mixed_folder(spark, sf_dir):
+    """Orders in one folder: `,` in UTF-8, `;` in Latin-1, and tabs with columns in another order and one missing."""
+    path, key = scratch_path(spark, "mixed"), F.col("o_orderkey")
+    who = F.concat(F.when(key % 3 == 1, "Café ").otherwise("n "), "o_custkey").alias("who")
+    orders = load(spark, sf_dir, "orders").select(key, who, "o_totalprice", "o_orderpriority")
+    orders.where(key % 3 == 0).write.csv(path, header=True)
+    orders.where(key % 3 == 1).write.csv(path, header=True, sep=";", encoding="ISO-8859-1", mode="append")
+    last = orders.where(key % 3 == 2).select("o_totalprice", "who", "o_orderkey")
+    last.write.csv(path, header=True, sep="\t", mode="append")
+    return readers.read_delimited(spark, path)
 
 
 @query(
@@ -134,23 +150,24 @@ def _ddl(spark, sf_dir):
 DDL_SQL = """
 parts_ as (select 'db' || p_partkey as database, lower(p_type) || '_head' as head, p_size, contains(p_brand, '3') as empty from part),
 ddl as (
-  select database, head as tab, 'column' as kind, 0 as part, 'id' as name, 'int NOT NULL' as definition, null as ref_table, null as ref_column from parts_ where not empty
-  union all select database, head, 'column', 0, 'Size ' || p_size, 'decimal(10, 2) DEFAULT ' || p_size, null, null from parts_ where not empty
-  union all select database, head, 'key', 0, 'id', null, null, null from parts_ where not empty
-  union all select database, head, 'key', 1, 'no', null, null, null from parts_ where not empty
-  union all select database, 'lines', 'column', 0, 'no', 'bigint', null, null from parts_ where not empty
-  union all select database, 'lines', 'column', 0, 'head_id', 'int', null, null from parts_ where not empty
-  union all select database, 'lines', 'key', 0, 'no', null, null, null from parts_ where not empty
-  union all select database, 'lines', 'link', 0, 'head_id', null, head, 'id' from parts_ where not empty)"""
+  select database, head as tab, 'column' as kind, 0 as ordinal, 0 as part, 'id' as name, 'int NOT NULL' as definition, null as ref_table, null as ref_column from parts_ where not empty
+  union all select database, head, 'column', 1, 0, 'Size ' || p_size, 'decimal(10, 2) DEFAULT ' || p_size, null, null from parts_ where not empty
+  union all select database, head, 'key', 2, 0, 'id', null, null, null from parts_ where not empty
+  union all select database, head, 'key', 2, 1, 'no', null, null, null from parts_ where not empty
+  union all select database, 'lines', 'column', 0, 0, 'no', 'bigint', null, null from parts_ where not empty
+  union all select database, 'lines', 'column', 1, 0, 'head_id', 'int', null, null from parts_ where not empty
+  union all select database, 'lines', 'key', 2, 0, 'no', null, null, null from parts_ where not empty
+  union all select database, 'lines', 'link', 3, 0, 'head_id', null, head, 'id' from parts_ where not empty)"""
 
 
 @query(
     "s7_parse_ddl",
-    f"""with {DDL_SQL} select database, tab as "table", kind, cast(part as int) as part, name,
+    f"""with {DDL_SQL} select database, tab as "table", kind, cast(ordinal as int) as ordinal,
+      cast(part as int) as part, name,
       definition, ref_table, ref_column from ddl""",
 )
 def parse_ddl(spark, sf_dir):
-    return readers.parse_ddl(_ddl(spark, sf_dir)).drop("ordinal")
+    return readers.parse_ddl(_ddl(spark, sf_dir))
 
 
 @query(

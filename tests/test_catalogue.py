@@ -198,6 +198,53 @@ def test_european_file(spark, tmp_path):
     assert [r["nom"] for r in rows.collect()] == ["Café", "Thé"]
 
 
+def test_folder_of_unlike_files(spark, tmp_path):
+    """Delimiter, encoding, header and quoted line breaks are each file's own; columns meet by name."""
+    folder = tmp_path / "up [1] x"
+    folder.mkdir()
+    (folder / "a.csv").write_text("a,b\n1,José\n2,x\n", encoding="utf-8")
+    (folder / "b b.csv").write_bytes("b;a\nCafé;3\nThé, noir;4\n".encode("latin-1"))
+    (folder / "c.csv").write_text('\ufeffa,b\n5,"two\nlines"\n', encoding="utf-8")
+    (folder / "d.tsv").write_text("c\ta\ny\t6\n")
+    (folder / "e.csv").write_text("")
+    rows = readers.read_delimited(spark, str(tmp_path / "up*"))
+    assert dict(rows.dtypes) == {"a": "bigint", "b": "string", "c": "string"}
+    assert [tuple(r) for r in rows.select("a", "b", "c").orderBy("a").collect()] == [
+        (1, "José", None), (2, "x", None), (3, "Café", None), (4, "Thé, noir", None), (5, "two\nlines", None), (6, None, "y"),
+    ]
+
+
+def test_delimiter_by_all_lines(spark, tmp_path):
+    """Neither a long head of notes nor single odd lines decide; commas in quotes do not count."""
+    path = tmp_path / "long.csv"
+    path.write_text("k;v\n" + "a, b, c;1\n" * 300 + 'x;"1,2,3"\n' * 900 + "no mark at all\n")
+    assert [r.delimiter for r in readers.file_facts(spark, str(path)).collect()] == [";"]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "blank.csv").write_text(" \n\n")
+    assert readers.file_facts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_ddl_lexer(spark):
+    """Brackets, semicolons and commas in quotes and comments, links of several columns, unique constraints."""
+    text = """CREATE TABLE IF NOT EXISTS `Shop`.`a` ( `id` int, -- note, with ); in it
+      `v` varchar(9) DEFAULT ');,' COMMENT 'it''s (', /* `x` int, */ `e` enum('p,q','r'),
+      UNIQUE KEY `u` (`v`, `e`), CONSTRAINT `c` FOREIGN KEY (`id`, `v`) REFERENCES `shop`.`b` (`x`, `y`) ON DELETE CASCADE
+    ) ENGINE=InnoDB; create table other.t (z int); CREATE TABLE shop.last (q int, PRIMARY KEY (q)"""
+    frame = spark.createDataFrame([("shop", text), ("shop", None), (None, text)], "database string, sql string")
+    rows = [tuple(r)[1:] for r in readers.parse_ddl(frame).collect()]
+    assert rows == [
+        ("a", "column", 0, 0, "id", "int", None, None),
+        ("a", "column", 1, 0, "v", "varchar(9) DEFAULT ');,' COMMENT 'it''s ('", None, None),
+        ("a", "column", 2, 0, "e", "enum('p,q','r')", None, None),
+        ("a", "unique", 3, 0, "v", None, None, None),
+        ("a", "unique", 3, 1, "e", None, None, None),
+        ("a", "link", 4, 0, "id", None, "b", "x"),
+        ("a", "link", 4, 1, "v", None, "b", "y"),
+        ("last", "column", 0, 0, "q", "int", None, None),
+        ("last", "key", 1, 0, "q", None, None, None),
+    ]
+
+
 def test_bad_lines_marks_and_types(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text('\ufeffid,note,total\n1,"a, b",5.5\n2,x,7,extra\n3,short\n4,"q ""w""",\n5,y,8,\n', encoding="utf-8")
