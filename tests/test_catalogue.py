@@ -245,6 +245,23 @@ def test_ddl_lexer(spark):
     ]
 
 
+def test_ddl_texts_are_dealt_to_tasks(spark, monkeypatch):
+    """Texts of one small file are read by several tasks; entries leave a task in pieces, the same with any size."""
+    text = "CREATE TABLE d{0}.t (a int, b int);\nCREATE TABLE d{0}.u (c int, PRIMARY KEY (c));\n"
+    texts = [(f"d{i}", text.format(i)) for i in range(40)] + [("d7", text.format(7)), (None, text), ("d8", None)]
+    frame = spark.createDataFrame(texts, "database string, sql string").coalesce(1)
+    monkeypatch.setattr(readers, "ENTRIES", 3)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        found = readers.parse_ddl(frame).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(name)
+    assert len({r["task"] for r in found}) > 1
+    assert len(found) == 41 * 4
+    assert sorted(r["name"] for r in found if r["database"] == "d7") == ["a", "a", "b", "b"] + ["c"] * 4
+
+
 def test_bad_lines_marks_and_types(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text('\ufeffid,note,total\n1,"a, b",5.5\n2,x,7,extra\n3,short\n4,"q ""w""",\n5,y,8,\n', encoding="utf-8")
