@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,3 +343,26 @@ def test_row_caps(spark):
     assert frame.count() == 1000 and warning == "Table 't' was truncated to the first 1,000 rows."
     frame, warning = readers.capped(spark.range(1000).toDF("a"), "t", 1000)
     assert frame.count() == 1000 and warning is None
+
+
+def test_smallest_in_task_by_bytes():
+    """Batches are cut against the values kept so far; order is that of the bytes, nulls and repeats are left out."""
+    batches = [["m", None, "￮", "m"], ["\U0001f600", "b", ""], [None, None], ["a", "z", "b"], ["é", "A"]]
+    batches = [pa.record_batch([pa.array(b, pa.string()), pa.nulls(len(b), pa.string())], ["x", "none"]) for b in batches]
+    run = documents._smallest_in_task(["x", "none"], 4)
+    assert pa.Table.from_batches(run(iter(batches))).to_pylist() == [{"column": "x", "value": v} for v in ("", "A", "a", "b")]
+    every = pa.Table.from_batches(documents._smallest_in_task(["x"], 9)(iter(b.select(["x"]) for b in batches)))
+    assert every["value"].to_pylist() == ["", "A", "a", "b", "m", "z", "é", "￮", "\U0001f600"]
+
+
+def test_inclusion_of_whole_numbers_and_texts(spark):
+    """Whole numbers of any width are compared as such, others as text; the shares of both kinds come out together."""
+    parent = Table("d", "a", spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "a_id int, t_code string"))
+    rows = [(1, "x"), (1, "w"), (7, None), (None, "y")]
+    child = Table("d", "b", spark.createDataFrame(rows, "a_id bigint, t_code string"))
+    flags = Table("d", "c", spark.createDataFrame([(True,)], "a_id boolean"))
+    pairs = [keys.Candidate(child, "a_id", parent, "a_id", 0), keys.Candidate(child, "t_code", parent, "t_code", 1)]
+    pairs.append(keys.Candidate(flags, "a_id", parent, "a_id", 2))
+    assert [keys._comparison(c) for c in pairs] == ["whole", "text", "text"]
+    found = {r["pair"]: r["ratio"] for r in keys.inclusion(pairs).collect()}
+    assert found == {0: pytest.approx(2 / 3), 1: pytest.approx(2 / 3), 2: 0}
