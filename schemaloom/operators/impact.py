@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ from schemaloom.runtime import broadcast_if_small, materialise
 #: Documents of a part of the index, and questions that a task looks up in it.
 DOCUMENTS = 4096
 QUESTIONS = 1024
+#: Turns of questions per part, beyond which a turn takes more questions instead, as the part travels once per turn.
+TURNS = 4096
+#: Documents of a part up to which questions are scored many at once, and scores that are held for that.
+FEW, CELLS = 512, 4_000_000
 #: Distinct keys of all questions up to which they are broadcast to cut the index down.
 BROADCAST_KEYS = 500_000
 
@@ -28,6 +33,7 @@ class Index:
     """The lists of one part: for each key the places of its documents, their weights, and the greatest of them."""
 
     def __init__(self, keys: list[str], lists: list[pa.StructArray]):
+        self.keys = pa.array(keys, pa.string())
         ids, weights = zip(*(x.flatten() for x in lists))
         # Places are in the order of the ids, so that the smaller place wins a tie.
         self.ids, place = np.unique(np.concatenate([np.asarray(x.to_pylist()) for x in ids]), return_inverse=True)
@@ -36,6 +42,37 @@ class Index:
         self.weights = dict(zip(keys, (w.to_numpy() for w in weights)))
         self.most = {k: int(w.max()) for k, w in self.weights.items()}
 
+    def best_of_few(self, asked: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, ids, scores) as by ``best`` for every row of ``asked``: all scores are added up, none is left out early."""
+        known = self.keys.to_pylist()
+        lengths = np.array([len(self.places[key]) for key in known])
+        starts = np.cumsum(lengths) - lengths
+        places, weights = (np.concatenate([x[key] for key in known]) for x in (self.places, self.weights))
+        found = []
+        step = max(1, CELLS // len(self.ids))
+        for start in range(0, len(asked), step):
+            part = asked.slice(start, step)
+            row = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy())
+            keys, factor, bonus = part.flatten().flatten()
+            number = pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy()
+            factor, bonus = factor.to_numpy(), bonus.to_numpy(zero_copy_only=False)
+            total = np.zeros(len(part) * len(self.ids), np.int64)
+            for extra in (False, True):
+                one = np.flatnonzero((number >= 0) & (bonus == extra))
+                size = lengths[number[one]]
+                at = np.arange(size.sum()) + np.repeat(starts[number[one]] - (np.cumsum(size) - size), size)
+                cell = np.repeat(row[one] * len(self.ids), size) + places[at]
+                points = np.repeat(factor[one], size) * weights[at]
+                if extra:
+                    points *= total[cell] > 0
+                np.add.at(total, cell, points)
+            total = total.reshape(len(part), -1)
+            order = np.argsort(-total, axis=1, kind="stable")[:, :k]
+            scores = np.take_along_axis(total, order, axis=1)
+            rows, ranks = np.nonzero(scores)
+            found.append((rows + start, self.ids[order[rows, ranks]], scores[rows, ranks]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     def best(self, asked: list[dict], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the ``k`` best documents that share a key that is no bonus; smaller ids win ties."""
         known = [a for a in asked if a["key"] in self.places]
@@ -75,7 +112,7 @@ def top_scores(
     d_type, q_type = (f.schema[n].dataType.simpleString() for f, n in ((documents, "d_id"), (asked, "q_id")))
     asked = materialise(asked.select("q_id", "keys"))
     parts = max(1, -(-documents.count() // documents_at_once))
-    turns = max(1, -(-asked.count() // questions_at_once))
+    turns = min(TURNS, max(1, -(-asked.count() // questions_at_once)))
     wanted = asked.select(F.explode("keys.key").alias("key")).distinct()
     part = F.pmod(F.xxhash64("d_id"), F.lit(parts)).cast("int").alias("part")
     rows = documents.select("d_id", part, F.explode("keys").alias("k")).select("d_id", "part", "k.key", F.col("k.weight").cast("bigint").alias("weight"))
@@ -98,26 +135,31 @@ def top_scores(
         index: Index | None = None
         at = None
         for batch in batches:
-            places = list(zip(batch["part"].to_pylist(), batch["turn"].to_pylist()))
-            out: list[tuple] = []
-            q_ids, q_keys = batch["q_id"], batch["keys"]
-            for i, order in enumerate(batch["order"].to_pylist()):
-                if places[i] != at:
-                    at, keys, held, index = places[i], [], [], None
-                if order == 0:
-                    keys.append(batch["key"][i].as_py())
-                    held.append(batch["list"][i].values)
+            kinds = [batch["list"].type.value_type.field("d_id").type, pa.int64()]
+            places = np.stack([batch[c].to_numpy() for c in ("part", "turn", "order")], axis=1)
+            ends = [*(np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1), len(places)]
+            for start, end in zip([0, *ends], ends):
+                # Rows of one part and turn: lists first, then questions.
+                rows = batch.slice(start, end - start)
+                if tuple(places[start, :2]) != at:
+                    at, keys, held, index = tuple(places[start, :2]), [], [], None
+                if places[start, 2] == 0:
+                    keys += rows["key"].to_pylist()
+                    held += [x.values for x in rows["list"]]
                     continue
                 if index is None and keys:
                     index, held = Index(keys, held), []
                 if index is None:
                     continue
-                ids, scores = index.best(q_keys[i].as_py(), k)
-                out += zip([q_ids[i].as_py()] * len(ids), ids.tolist(), scores.tolist())
-            if out:
-                q, d, v = zip(*out)
-                kinds = [q_ids.type, batch["list"].type.value_type.field("d_id").type, pa.int64()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip((q, d, v), kinds)], ["q_id", "d_id", "score"])
+                if len(index.ids) <= FEW:
+                    row, d, v = index.best_of_few(rows["keys"], k)
+                    q = rows["q_id"].take(pa.array(row))
+                else:
+                    best = [index.best(x.as_py(), k) for x in rows["keys"]]
+                    d, v = (np.concatenate(x) for x in zip(*best))
+                    q = rows["q_id"].take(pa.array(np.repeat(np.arange(len(best)), [len(ids) for ids, _ in best])))
+                if len(d):
+                    yield pa.record_batch([q, *(pa.array(c.tolist(), t) for c, t in zip((d, v), kinds))], ["q_id", "d_id", "score"])
 
     found = stream.mapInArrow(run, f"q_id {q_type}, d_id {d_type}, score bigint")
     best = Window.partitionBy("q_id").orderBy(F.desc("score"), "d_id")

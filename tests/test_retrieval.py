@@ -270,3 +270,24 @@ def test_rank_bonus_uses_first_hits(spark):
     got = {r["table"]: r["score"] for r in retrieval.rank_bonus(scored, hits).collect()}
     # Three tables: only the first three hits count.
     assert got == {"A": 1, "B": 12, "C": 12}
+
+
+def test_many_questions_of_few_documents(monkeypatch):
+    """Questions scored many at once get what each of them gets alone, with ties, bonuses, repeats and unknown keys."""
+    draw = random.Random(5)
+    ids = [f"d{i}" for i in range(9)]
+    lists = [[{"d_id": d, "weight": draw.randint(1, 4)} for d in draw.sample(ids, draw.randint(1, 9))] for _ in range(12)]
+    index = impact.Index([f"k{i}" for i in range(12)], [pa.array(x) for x in lists])
+    names = [f"k{i}" for i in range(15)]
+    asked = [
+        [{"key": draw.choice(names), "factor": draw.randint(1, 3), "bonus": draw.random() < 0.3} for _ in range(draw.randint(0, 6))]
+        for _ in range(60)
+    ]
+    kind = pa.list_(pa.struct([("key", pa.string()), ("factor", pa.int32()), ("bonus", pa.bool_())]))
+    monkeypatch.setattr(impact, "CELLS", 50)
+    for k in (1, 4, 20):
+        rows, found, scores = index.best_of_few(pa.array([[], *asked], kind).slice(1), k)
+        got = [[] for _ in asked]
+        for row, d, score in zip(rows.tolist(), found.tolist(), scores.tolist()):
+            got[row].append((d, score))
+        assert got == [list(zip(*(x.tolist() for x in index.best(a, k)))) for a in asked]
