@@ -52,7 +52,7 @@ class Index:
         step = max(1, CELLS // len(self.ids))
         for start in range(0, len(asked), step):
             part = asked.slice(start, step)
-            row = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy())
+            row = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(part), 0).to_numpy())
             keys, factor, bonus = part.flatten().flatten()
             number = pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy()
             factor, bonus = factor.to_numpy(), bonus.to_numpy(zero_copy_only=False)
@@ -155,7 +155,7 @@ def top_scores(
                     row, d, v = index.best_of_few(rows["keys"], k)
                     q = rows["q_id"].take(pa.array(row))
                 else:
-                    best = [index.best(x.as_py(), k) for x in rows["keys"]]
+                    best = [index.best(x.as_py() or [], k) for x in rows["keys"]]
                     d, v = (np.concatenate(x) for x in zip(*best))
                     q = rows["q_id"].take(pa.array(np.repeat(np.arange(len(best)), [len(ids) for ids, _ in best])))
                 if len(d):

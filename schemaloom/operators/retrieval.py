@@ -120,6 +120,21 @@ def _marked(words: Column, mark: str) -> Column:
     return F.transform(words, lambda w: F.concat(F.lit(mark), w))
 
 
+#: Starts of phrases up to which a pattern names them.
+STARTS = 2_000
+
+
+def _one_of(starts: list[str]) -> str:
+    """A pattern for any of some texts of three characters, by their first, second and third one."""
+    code = {s: [rf"\x{{{ord(c):x}}}" for c in s] for s in starts}
+    by_two: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in code.values():
+        by_two.setdefault(a, {}).setdefault(b, []).append(c)
+    return "(?:" + "|".join(
+        a + "(?:" + "|".join(b + "[" + "".join(ends) + "]" for b, ends in rest.items()) + ")" for a, rest in by_two.items()
+    ) + ")"
+
+
 def contained_phrases(questions: DataFrame, phrases: DataFrame) -> DataFrame:
     """(q_id, phrase): the distinct phrases of at least three characters that lie in a question's lower-case text.
 
@@ -129,9 +144,11 @@ def contained_phrases(questions: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     known = materialise(phrases.select("phrase").filter(F.length("phrase") >= 3).distinct())
     longest = known.agg(F.max(F.length("phrase"))).first()[0] or 3
-    windows = F.array_distinct(F.regexp_extract_all("q_text", F.lit(f"(?s)(?=(.{{3,{longest}}}))"), F.lit(1)))
-    cut = questions.select("q_id", F.explode(windows).alias("window")).withColumn("start", F.substring("window", 1, 3))
     known = known.withColumn("start", F.substring("phrase", 1, 3))
+    starts = [r[0] for r in known.select("start").distinct().limit(STARTS + 1).collect()]
+    head = _one_of(starts) if 0 < len(starts) <= STARTS else ".{3}"
+    windows = F.array_distinct(F.regexp_extract_all("q_text", F.lit(f"(?s)(?=({head}.{{0,{longest - 3}}}))"), F.lit(1)))
+    cut = questions.select("q_id", F.explode(windows).alias("window")).withColumn("start", F.substring("window", 1, 3))
     met = cut.join(broadcast_if_small(known), "start").filter(F.col("window").startswith(F.col("phrase")))
     return met.select("q_id", "phrase").distinct()
 

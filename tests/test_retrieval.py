@@ -291,3 +291,26 @@ def test_many_questions_of_few_documents(monkeypatch):
         for row, d, score in zip(rows.tolist(), found.tolist(), scores.tolist()):
             got[row].append((d, score))
         assert got == [list(zip(*(x.tolist() for x in index.best(a, k)))) for a in asked]
+
+
+def test_windows_start_with_known_starts_only(spark, monkeypatch):
+    """Phrases with marks of patterns, of other alphabets and beyond 16 bits, found by named starts and by any window."""
+    phrases = ["a.b", "abc", "abcd", "[x]", "^x-y", "\\q\\e", "a|b|c", "éü日", "\U0001f600ab", "z\U0001f600y", "ab", "  \n"]
+    texts = [None, "", "ab", "xabcd a|b|c", "a.bc a-b [x]^x-y", "\\q\\e", "\U0001f600\U0001f600abc z\U0001f600y", "éü日本", "q  \n", "a|b[x"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "q_id int, q_text string")
+    known = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    wanted = {(i, p) for i, t in enumerate(texts) for p in phrases if t and len(p) >= 3 and p in t}
+    for bound in (retrieval.STARTS, 3):
+        monkeypatch.setattr(retrieval, "STARTS", bound)
+        found = [tuple(r) for r in retrieval.contained_phrases(asked, known).collect()]
+        assert sorted(found) == sorted(wanted)
+    assert re.fullmatch(retrieval._one_of(["abc", "abd", "xyz"]).replace(r"\x{", r"\x").replace("}", ""), "abd")
+    none = known.where("phrase = 'ab'")
+    assert retrieval.contained_phrases(asked, none).count() == 0
+
+
+def test_null_questions_have_no_best_documents(spark):
+    docs = spark.createDataFrame(list(DOCS.items()), "d_id string, text string")
+    asked = spark.createDataFrame([(1, None), (2, "golf")], "q_id int, text string")
+    found = [tuple(r)[:2] for r in retrieval.hybrid_top_k(asked, docs, 1).collect()]
+    assert found == [(2, "a")]
