@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemaloom.functions.text import strip, word_count, words_ascii, words_wide
+from schemaloom.operators import tally
 from schemaloom.operators.catalogue import union_all
 from schemaloom.operators.documents import sample_phrases
 from schemaloom.operators.impact import top_scores
 from schemaloom.operators.nearest import vector_top_k  # noqa: F401
-from schemaloom.runtime import broadcast_if_small, materialise
+from schemaloom.runtime import BROADCAST_ROWS, broadcast_if_small, materialise
 
 # Words of a question about related tables.
 RELATION_WORDS = ["participate", "participating", "belong", "taken", "enrolled", "related", "between", "each"]
@@ -35,6 +36,8 @@ TABLE_BOOSTS = [
 # Words that add points when question and document both contain them.
 DATABASE_BOOST_WORDS = ["student", "course", "faculty", "school", "player", "activity"]
 DATABASE_BOOST = 2
+# Points for a letter run of the question that a document contains.
+RUN_POINTS = 15
 
 # Bonus by rank of the vector hit.
 RANK_BONUS = [12, 9, 7, 5, 3, 2]
@@ -314,13 +317,22 @@ def database_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """Token overlap + 15 per contained letter run + 2 per shared keyword.
 
     A letter run lies inside a document only where the document holds the run's first
-    three characters, so runs meet documents by that piece and are verified afterwards.
+    three characters, so runs meet documents by that piece and are verified afterwards. Few
+    short documents are held by every task instead, which scores batches of questions.
     """
     keywords = F.array(*[F.lit(w) for w in DATABASE_BOOST_WORDS])
 
     def present(text: Column) -> Column:
         return F.filter(keywords, lambda w: text.contains(w))
 
+    few = _few_texts(documents, present)
+    if few is not None:
+        text = F.col("q_text")
+        asked = _lowered(questions.filter("text is not null"))
+        asked = asked.select("q_id", "q_text", words_ascii(text).alias("words"), question_phrases(text).alias("runs"))
+        points = dict.fromkeys(DATABASE_BOOST_WORDS, DATABASE_BOOST)
+        return tally.by_text(asked, few, documents.schema["d_id"].dataType.simpleString(), points, RUN_POINTS)
+
     def keyed(values: Column, points: int, mark: str = "") -> Column:
         """Values as (key, run, points); without a mark the value is a run, found by its start."""
         return F.transform(
@@ -338,7 +350,7 @@ def database_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
         F.inline_outer(
             F.concat(
                 keyed(words_ascii(asked_text), 1, TOKEN_MARK),
-                keyed(question_phrases(asked_text), 15),
+                keyed(question_phrases(asked_text), RUN_POINTS),
                 keyed(present(asked_text), DATABASE_BOOST, BOOST_MARK),
             )
         ),
@@ -356,6 +368,20 @@ def database_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def _few_texts(documents: DataFrame, present: Callable[[Column], Column]) -> list | None:
+    """Rows (d_id, d_text, words, keywords) of documents that are few, short and each named by its own text or whole
+    number, else None."""
+    if documents.schema["d_id"].dataType.simpleString() not in ("string", "bigint", "int"):
+        return None
+    texts = documents.select("d_id", F.lower("text").alias("d_text")).filter("d_id is not null and d_text is not null")
+    length = F.coalesce(F.sum(F.length("d_text")), F.lit(0))
+    count, names, characters = texts.limit(tally.PLACES + 1).agg(F.count(F.lit(1)), F.count_distinct("d_id"), length).first()
+    if not 0 < count <= tally.PLACES or names < count or characters > tally.CHARACTERS:
+        return None
+    text = F.col("d_text")
+    return texts.select("d_id", "d_text", words_ascii(text).alias("words"), present(text).alias("keywords")).collect()
+
+
 ALL_MARK = "all:"
 
 
@@ -363,9 +389,16 @@ def table_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """(q_id, database, table, score) for every table of the question's database.
 
     Words of a question look up the tables that hold them; one more key finds every table
-    of the database, so that tables without a hit are kept with what they score. Questions
-    are partitioned by id first: the sum per table and the ranking need no other shuffle.
+    of the database, so that tables without a hit are kept with what they score.
     """
+    few, features = _table_features(questions, documents)
+    if few is not None:
+        return few.select("q_id", "database", F.inline("tables"))
+    return _keyed_table_scores(questions, features)
+
+
+def _table_features(questions: DataFrame, documents: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """The rankings if every task can hold what the tables offer, and that as rows by key."""
     text = F.col("text")
     right_sides = F.transform(
         F.filter(
@@ -380,7 +413,8 @@ def table_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
     )
     named = documents.filter("table <> ''").withColumn("is_user", F.col("kind") == "user")
     place = ["database", "table", "is_user"]
-    no_values = F.lit(None).cast("array<struct<value:string,points:int>>")
+    no_values_type = "array<struct<value:string,points:int>>"
+    no_values = F.lit(None).cast(no_values_type)
 
     def words(column: Column, points: int) -> DataFrame:
         keys = F.explode(_marked(words_ascii(column), TOKEN_MARK)).alias("key")
@@ -393,6 +427,23 @@ def table_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
             named.select(*place, F.lit(ALL_MARK).alias("key"), F.lit(0).alias("points"), values.alias("values")),
         ]
     )
+    named_for = F.array(*[F.lower("table").contains(name) for _, name, _ in TABLE_BOOSTS])
+    rows = features.withColumn("named", named_for).limit(BROADCAST_ROWS + 1)
+    length = F.length("key") + F.aggregate(F.coalesce("values", F.array().cast(no_values_type)), F.lit(0), lambda a, v: a + F.length(v["value"]))
+    count, characters = rows.agg(F.count(F.lit(1)), F.sum(length)).first()
+    if count > BROADCAST_ROWS or (characters or 0) > tally.CHARACTERS:
+        return None, features
+    lower = F.col("q_text")
+    boosted = F.array(*[lower.rlike("|".join(asked)) for asked, _, _ in TABLE_BOOSTS])
+    asked = _lowered(questions.filter("text is not null"), database=F.col("database"))
+    asked = asked.select("q_id", "database", "q_text", words_ascii(lower).alias("words"), boosted.alias("boosted"))
+    points = [points for _, _, points in TABLE_BOOSTS]
+    return tally.by_table(asked, rows.collect(), points, ALL_MARK, TOKEN_MARK), features
+
+
+def _keyed_table_scores(questions: DataFrame, features: DataFrame) -> DataFrame:
+    """``table_scores`` by a join of words with ``features``. Questions are partitioned by id first: the sum per table and
+    the ranking need no other shuffle."""
     lower = F.col("q_text")
     hits = F.filter("values", lambda v: lower.contains(v["value"]))
     value_points = F.aggregate(hits, F.lit(0), lambda a, v: a + v["points"])
@@ -415,7 +466,8 @@ def table_scores(questions: DataFrame, documents: DataFrame) -> DataFrame:
 
 def table_rankings(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """(q_id, database, tables): the scores of ``table_scores``, one row per question."""
-    return as_rankings(table_scores(questions, documents))
+    few, features = _table_features(questions, documents)
+    return few if few is not None else as_rankings(_keyed_table_scores(questions, features))
 
 
 def as_rankings(scored: DataFrame) -> DataFrame:

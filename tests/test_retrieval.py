@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from schemaloom.functions.text import words_narrow
-from schemaloom.operators import impact, nearest, retrieval, routing
+from schemaloom.operators import impact, nearest, retrieval, routing, tally
 
 DOCS = {
     "a": "TABLE: student\nCOLUMNS:\n- id (INTEGER)\nFOREIGN KEYS:\n- city -> cities.id\nSAMPLE VALUES:\n- hobby: Mountain Climbing, Golf, golf",
@@ -314,3 +314,35 @@ def test_null_questions_have_no_best_documents(spark):
     asked = spark.createDataFrame([(1, None), (2, "golf")], "q_id int, text string")
     found = [tuple(r)[:2] for r in retrieval.hybrid_top_k(asked, docs, 1).collect()]
     assert found == [(2, "a")]
+
+
+def test_few_documents_score_batches_of_questions_as_the_keyed_joins_do(spark, monkeypatch):
+    """Repeated and null ids, null texts, unknown databases and repeated tables: the same rows without rows by word."""
+    asked = [
+        (1, "Shop", "Student Ann, the big order list of a big order list"), (1, "Shop", "orders by red apple"), (1, "b", "activities"),
+        (None, "Shop", "join red apple"), (None, "Shop", "orders"), (2, "Shop", None), (3, "none", "orders"), (4, None, "orders"),
+        (5, "b", ""), (6, "b", "İred Apple pie in a course"), (7, "Shop", "the the _x 7"),
+    ]
+    docs = [
+        ("Shop", "orders", "plain", "TABLE: orders\n- fruit: red apple\n- kind: ab\n- x: ann"),
+        ("Shop", "student", "plain", "TABLE: student\n- name: ann\n- other: Ann"),
+        ("Shop", "student", "user", "a big order list of a student"),
+        ("Shop", "", "plain", "- fruit: orders"), ("Shop", None, "plain", "orders"), (None, "t", "plain", "orders"),
+        ("b", "activity_x", None, "- a: red apple pie\n- b: red apple pie\nİ"), ("c", "other", "user", None),
+    ]
+    q = spark.createDataFrame(asked, "q_id bigint, database string, text string")
+    d = spark.createDataFrame(docs, "database string, table string, kind string, text string")
+    named = d.selectExpr("kind || table as d_id", "text")
+    twice = named.withColumn("d_id", F.when(F.col("d_id") != "plain", F.lit("x")))
+
+    def got():
+        tables = retrieval.table_rankings(q, d).selectExpr("q_id", "database", "inline(tables)")
+        frames = (retrieval.table_scores(q, d), tables, *[retrieval.database_scores(q, x) for x in (named, twice)])
+        return [sorted((tuple(r) for r in f.collect()), key=str) for f in frames]
+
+    few = got()
+    explained = retrieval.table_rankings(q, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in explained  # no row per word of a question
+    monkeypatch.setattr(tally, "PLACES", 0)
+    keyed = got()
+    assert few == keyed and few[0] == few[1] and all(few)
