@@ -25,6 +25,14 @@ LISTED = 1 << 12
 PARTS = 3
 #: Target ids (8 bytes each) up to which they are broadcast.
 BROADCAST_IDS = 1_000_000
+#: Parts of the words in which ``packed_sums`` works, places of words that one bucket holds, and a task sorts at once.
+WORD_PARTS, BUCKET, CHUNK = 2, 1 << 18, 1 << 20
+#: Words with more places are dealt by their pairs.
+HOT = BUCKET // 4
+#: What a place of a word has: its document is in the target, a word follows, none stands before, its document has no id.
+TARGET, FOLLOWED, FIRST, NO_ID = 1, 2, 4, 8
+PLACED = "bucket int, second binary, size binary, key binary, doc binary, flags binary"
+GAINED = "bucket int, doc binary, n binary, total binary, flags binary"
 #: Stands before a document's first word; no word has a space.
 START = np.uint64(xxhash.xxh64_intdigest(b" "))
 
@@ -167,6 +175,152 @@ def pair_places(marked: DataFrame, part: int) -> DataFrame:
     return marked.mapInArrow(run, "key long, docs array<long>")
 
 
+def packed(bucket: np.ndarray, **columns: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Columns sorted by bucket, cut where it changes."""
+    at = starts_of(bucket)
+    for start, end in zip(at, [*at[1:], len(bucket)]):
+        yield int(bucket[start]), {n: c[start:end] for n, c in columns.items()}
+
+
+def word_places(marked: DataFrame, part: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """The places of the words of one part, packed by bucket: those of a word, or of a pair if its word is hot, are together."""
+
+    def block(found: list[np.ndarray], ids: list[int], marks: list[int]) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate([*found, [START]])
+        row = np.repeat(np.arange(len(found) + 1), [*(len(x) for x in found), 1])
+        second, key = every[1:], every[:-1] ^ (every[1:] << np.uint64(17) | every[1:] >> np.uint64(47))
+        at = np.flatnonzero(row[1:] == row[:-1])
+        slot = second[at]
+        if len(hot):
+            slot = np.where(hot[np.minimum(np.searchsorted(hot, slot), len(hot) - 1)] == slot, key[at], slot)
+        at, slot = (x[slot % np.uint64(WORD_PARTS) == part] for x in (at, slot))
+        bucket = (slot >> np.uint64(20)) % np.uint64(buckets)
+        order = np.argsort(bucket << np.uint64(40) | second[at] >> np.uint64(24))
+        at, bucket = at[order], bucket[order]
+        start = np.concatenate([[True], row[1:] != row[:-1]])[at]
+        follows = np.concatenate([row[2:] == row[1:-1], [False]])[at]
+        flags = np.array(marks, np.uint8)[row[at]] + FOLLOWED * follows.astype(np.uint8) + FIRST * start.astype(np.uint8)
+        doc = np.array(ids, np.int64)[row[at]]
+        for b, x in packed(bucket, second=second[at], key=key[at], doc=doc, flags=flags):
+            begins = starts_of(x["second"])
+            size = np.diff(begins, append=len(x["second"])).astype(np.uint32)
+            values = [x["second"][begins], size, x["key"], x["doc"], x["flags"]]
+            yield pa.record_batch([pa.array([b], pa.int32()), *(pa.array([v.tobytes()]) for v in values)], ["bucket", "second", "size", "key", "doc", "flags"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, ids, marks, size = [], [], [], 0
+        for batch in batches:
+            for text, doc, target in zip(batch["text"], batch["doc_id"].cast(pa.int64()).to_pylist(), batch["target"].to_pylist()):
+                found.append(np.concatenate([[START], hashes(words_of(text.as_py()))]))
+                ids.append(0 if doc is None else doc)
+                marks.append(NO_ID if doc is None else TARGET * target)
+                size += len(found[-1])
+                if size >= BLOCK:
+                    yield from block(found, ids, marks)
+                    found, ids, marks, size = [], [], [], 0
+        if found:
+            yield from block(found, ids, marks)
+
+    return marked.mapInArrow(run, PLACED).repartition("bucket").sortWithinPartitions("bucket")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterator[list[dict[str, np.ndarray]]]:
+    """The rows of each bucket, unpacked, in chunks of at least ``CHUNK`` places."""
+
+    def joined() -> list[dict[str, np.ndarray]]:
+        chunks, some, size = [], [], 0
+        for x in held:
+            some.append(x)
+            size += len(x["flags"])
+            if size >= CHUNK or x is held[-1]:
+                chunks.append({n: np.concatenate([np.frombuffer(y[n], kind) for y in some]) for n, kind in kinds.items()})
+                some, size = [], 0
+        return chunks
+
+    held, at = [], None
+    for batch in batches:
+        for i, bucket in enumerate(batch["bucket"].to_pylist()):
+            if bucket != at and held:
+                yield joined()
+                held = []
+            at = bucket
+            held.append({n: batch[n][i].as_buffer() for n in kinds})
+    if held:
+        yield joined()
+
+
+def counted_pairs(chunk: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(key, second, first, n, n_target) of the pairs of a chunk, sorted by key."""
+    second = np.repeat(chunk["second"], chunk["size"])
+    order = np.argsort(chunk["key"])
+    key = chunk["key"][order]
+    at = starts_of(key)
+    flags = chunk["flags"][order]
+    target = np.add.reduceat((flags & TARGET).astype(np.int64), at)
+    return key[at], second[order[at]], (flags[at] & FIRST) > 0, np.diff(at, append=len(key)), target
+
+
+def packed_sums(marked: DataFrame, words: Words, smoothing: float, part: int) -> DataFrame:
+    """(doc_id, n_words, total): the sums of the gains of one part's words over documents.
+
+    A word stands once behind each of its places, so that a bucket with all its places has its count too. The gain of a pair is
+    log(pair + s one) - log(before + s) on both sides; what depends on the word before alone is added where that word
+    stands itself, if a word follows.
+    """
+    buckets = max(1, -(-words.total[0] // (BUCKET * WORD_PARTS)))
+    rows = words.table.where(F.col("n") > HOT).collect()
+    table = np.array([[r["key"], r["n"], r["n_target"]] for r in rows], np.int64).reshape(-1, 3)
+    hot = table[:, 0].copy().view(np.uint64)
+    order = np.argsort(hot)
+    hot, hot_n = hot[order], table[order, 1:]
+    above = [float(t + words.size + 1) for t in words.total]
+    kinds = {"second": np.uint64, "size": np.uint32, "key": np.uint64, "doc": np.int64, "flags": np.uint8}
+
+    def sums(doc: np.ndarray, no_id: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((doc, no_id)) if no_id.any() else np.argsort(doc)
+        doc, no_id = doc[order], no_id[order]
+        at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (no_id[1:] != no_id[:-1])]))
+        return doc[at], no_id[at], np.add.reduceat(n[order], at), np.add.reduceat(total[order], at)
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunks in by_bucket(batches, kinds):
+            parts = [counted_pairs(c) for c in chunks]
+            key, at, of = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+            second, first = (np.concatenate([p[i] for p in parts])[at] for i in (1, 2))
+            pair = [np.bincount(of, np.concatenate([p[i] for p in parts])) for i in (3, 4)]
+            word, of = np.unique(second, return_inverse=True)
+            alone = np.stack([np.bincount(of, p) for p in pair], axis=1)
+            if len(hot):
+                place = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
+                alone[hot[place] == word] = hot_n[place[hot[place] == word]]
+            one = (alone + 1.0) / above
+            two = np.stack(pair, axis=1) + smoothing * one[of]
+            gain = np.log(np.where(first[:, None], one[of], two))
+            gain = gain[:, 0] - gain[:, 1]
+            before = np.log(alone + smoothing)
+            before = (before[:, 1] - before[:, 0])[of]
+            for c in chunks:
+                at = np.searchsorted(key, c["key"])
+                total = gain[at] + before[at] * ((c["flags"] & FOLLOWED) > 0)
+                doc, no_id, n, total = sums(c["doc"], (c["flags"] & NO_ID) > 0, np.ones(len(at), np.int64), total)
+                bucket = doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+                bucket = bucket % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                columns = {"doc": doc, "n": n.astype(np.uint32), "total": total, "flags": no_id.astype(np.uint8)}
+                out = list(packed(bucket[order], **{k: v[order] for k, v in columns.items()}))
+                blobs = [pa.array([x[k].tobytes() for _, x in out], pa.binary()) for k in columns]
+                yield pa.record_batch([pa.array([b for b, _ in out], pa.int32()), *blobs], ["bucket", *columns])
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunks in by_bucket(batches, {"doc": np.int64, "n": np.uint32, "total": np.float64, "flags": np.uint8}):
+            for c in chunks:
+                doc, no_id, n, total = sums(c["doc"], c["flags"] > 0, c["n"].astype(np.int64), c["total"])
+                yield pa.record_batch([pa.array(doc, mask=no_id), pa.array(n), pa.array(total)], ["doc_id", "n_words", "total"])
+
+    found = word_places(marked, part, buckets, hot).mapInArrow(gains, GAINED)
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(totals, "doc_id long, n_words long, total double")
+
+
 def score(
     docs: DataFrame, target: DataFrame, vocabulary_size: int | None = None, smoothing: float = SMOOTHING
 ) -> DataFrame:
@@ -181,8 +335,9 @@ def score(
     document, which is in no target. A document without words has score 0, as all have if the target is
     empty or unknown.
 
-    Words and pairs are tables keyed by 64-bit hashes; the driver gets three sums. Pair counts are shuffled by
-    pair and meet the counts of their words by joins; documents meet them as rows (pair, documents), again by
+    Words and pairs are known by 64-bit hashes; the driver gets three sums and the words with more than ``HOT`` places. Places
+    go as packed rows to buckets of words (see ``packed_sums``), and what they bring to buckets of documents. With a
+    ``vocabulary_size``, or without smoothing, words and pairs are tables: pair counts are shuffled by pair and meet the counts of their words by joins; documents meet them as rows (pair, documents), again by
     pair, and only sums go on. A hot pair or word has one row per block or pair and is split by the join.
     """
     wanted = target.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
@@ -190,7 +345,10 @@ def score(
     marked = marked.withColumn("target", F.coalesce("target", F.lit(False)))
     words = Words(word_counts(marked), vocabulary_size)
     sums = marked.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("total"))
-    for part in range(PARTS):
+    plain = vocabulary_size is None and smoothing > 0
+    for part in range(WORD_PARTS if plain else 0):
+        sums = sums.unionByName(materialise(packed_sums(marked, words, smoothing, part)))
+    for part in range(0 if plain else PARTS):
         model = materialise(pair_gains(pair_counts(marked, part), words, smoothing)).hint("shuffle_hash")
         found = pair_places(marked, part).join(model, "key").select(F.explode("docs").alias("doc_id"), "pair_gain")
         found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum("pair_gain").alias("total"))

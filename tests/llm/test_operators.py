@@ -13,6 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -593,6 +594,29 @@ def test_lm_counts_all_words_and_pairs(spark):
     assert got[101][1] < got[103][1] < got[102][1]  # a pair, then words, of the target that 16,384 others outnumber
 
 
+def test_lm_packed_places_score_as_joined_pairs(spark, monkeypatch):
+    """Hot words in buckets of their pairs, repeated and null ids and null texts: the scores of the joins, where all words are known."""
+    draw = random.Random(9)
+    text = lambda: " ".join("w%d" % min(draw.randrange(40), draw.randrange(40)) for _ in range(draw.randrange(30)))
+    rows = [(draw.choice([*range(-9, 20), 1 << 60, None]), draw.choice([None, "", "One", text(), text(), text()])) for _ in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    target = spark.createDataFrame([(i,) for i in (1, 2, 3, -4, 1 << 60, None)], "doc_id long")
+    monkeypatch.setattr(lm_scoring, "HOT", 20)
+    monkeypatch.setattr(lm_scoring, "BUCKET", 64)
+    packed, joined = ({r.doc_id: (r.n_words, r.score) for r in lm_scoring.score(docs, target, n).collect()} for n in (None, 1_000))
+    assert packed.keys() == joined.keys() == {i for i, _ in rows}
+    for i in packed:
+        assert packed[i] == (joined[i][0], pytest.approx(joined[i][1], abs=1e-9))
+
+
+def test_lm_buckets_come_whole_in_chunks(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK", 3)
+    blobs = [(1, b"ab"), (1, b"c"), (1, b"d"), (2, b"e"), (4, b"fghi"), (4, b"j")]
+    batches = [pa.record_batch([pa.array([b for b, _ in x], pa.int32()), pa.array([v for _, v in x])], ["bucket", "flags"]) for x in (blobs[:2], blobs[2:])]
+    got = [[c["flags"].tobytes() for c in chunks] for chunks in lm_scoring.by_bucket(iter(batches), {"flags": np.uint8})]
+    assert got == [[b"abc", b"d"], [b"e"], [b"fghi", b"j"]]
+
+
 # 10 token counts
 
 
